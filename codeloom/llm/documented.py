@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from codeloom.llm.docs_words import says_something
 from codeloom.llm.invalid_files import file_texts
@@ -69,7 +70,7 @@ def _comments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["file_path", "at", "comment"])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def says_something_udf(doc: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([says_something(d, n) for d, n in zip(doc, name)])
 

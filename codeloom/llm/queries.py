@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import documented, handwritten, invalid_files, splitting
+from codeloom.llm import documented, handwritten, invalid_files, leakage, packing, sentences, splitting
 from codeloom.runtime import table
 
 
@@ -43,7 +43,36 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     return documented.pairs(table(spark, d, "nodes"), table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p5_found, p5_pieces, p6_found, p6_pairs)}
+def _contexts(spark: SparkSession, d: str) -> dict[str, int]:
+    rows = table(spark, d, "size_limits").where("unit = 'tokens'").select("limit_name", "capacity").collect()
+    return {r.limit_name: r.capacity for r in rows}
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.token_sizes(table(spark, d, "documents")), _contexts(spark, d))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    limits = _contexts(spark, d)
+    return packing.fill_report(packing.pack(packing.token_sizes(table(spark, d, "documents")), limits), limits)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "eval_items")
+    found = leakage.find_leaks(table(spark, d, "documents"), items).select("doc_id", "item_id").distinct()
+    per = found.groupBy("item_id").agg(F.count("*").alias("documents"))
+    return items.join(per, "item_id", "left").groupBy("suite", "split").agg(F.count("*").alias("items"), F.count("documents").alias("leaked"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "documents").where("source <> 'file'")).select("doc_id", "end_offset")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p5_found, p5_pieces, p6_found, p6_pairs, p8_pack, p8_fill, p9_found, p9_report, p10_found)}
 
 SQL = {
     "p5_found": """
