@@ -24,6 +24,7 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -50,6 +51,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many tasks as there are cores, for heavy work per row on a small input; large inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as a table in the shared folder and read them back.
 
