@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.invalid_files import file_texts, newest_files
+from codeloom.runtime import spread
 
 #: Banners that a generator writes at the top of a file; fixed values.
 GENERATED_BANNER = re.compile(
@@ -34,7 +35,7 @@ PROFILES = {
 _HEADER = re.compile(r"\s*(?://|#(?!!)|/\*|\*|\"\"\"|<!--|--|;)")
 _RUN = re.compile(r"[A-Za-z0-9+/=_-]{40,}|(?:\\x[0-9a-fA-F]{2}){10,}|(?:0x[0-9a-fA-F]{1,8},\s*){10,}")
 _NUMBERS = re.compile(r"(?:-?\d[\d.]*\s*,\s*){5,}")
-_FEATURES = "path string, generated boolean, vendored boolean, longest int, mean double, blanks double, words double, numbers double, encoded double, body_chars bigint, body binary"
+_FEATURES = "path string, generated boolean, vendored boolean, longest int, mean double, blanks double, numbers double, encoded double, body_chars bigint, body binary"
 
 
 def split_header(text: str) -> tuple[str, str]:
@@ -65,7 +66,6 @@ def layout(text: str) -> tuple:
         max(map(len, lines)),
         n / len(lines),
         1 - len(solid) / n,
-        sum(map(str.isalnum, solid)) / n if len(solid) < 200 else None,
         sum(len(m) for m in _NUMBERS.findall(text)) / n,
         sum(len(m) for m in _RUN.findall(text)) / n,
         len(core),
@@ -96,7 +96,7 @@ def classify_files(documents: DataFrame, files: DataFrame, least_copy: int = 40)
     Statistics are taken where a text is read; only they are shuffled. Copies
     meet by the hash of their text, counted before the shuffle.
     """
-    stats = file_texts(documents, "text").mapInPandas(_layouts, _FEATURES)
+    stats = spread(file_texts(documents, "text")).mapInPandas(_layouts, _FEATURES)
     rows = stats.join(newest_files(files), "path").withColumn("repo", F.split_part("path", F.lit("/"), F.lit(1)))
     rows = rows.withColumn("stamp", F.col("vendored") | F.col("path").rlike(VENDORED_DIR))
     copies = (

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.runtime import materialise
+from codeloom.runtime import materialise, spread
 
 #: Extension to language; fixed values.
 EXTENSIONS = {"py": "python", "pyi": "python", "js": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "mts": "typescript", "java": "java", "go": "go", "json": "json"}
@@ -51,7 +51,7 @@ def judge_files(documents: DataFrame, files: DataFrame) -> DataFrame:
     """
     guess = F.create_map(*(x for k, v in EXTENSIONS.items() for x in (F.lit(k), F.lit(v))))
     texts = file_texts(documents, F.coalesce(guess[F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))], F.lit("")).alias("guess"), "text")
-    verdicts = texts.mapInPandas(_judge, _SCHEMA)
+    verdicts = spread(texts).mapInPandas(_judge, _SCHEMA)
     joined = materialise(verdicts.join(newest_files(files).select("path", "language"), "path"))
     right, wrong = joined.where("guess <=> language"), joined.where("not guess <=> language")
     if not wrong.isEmpty():

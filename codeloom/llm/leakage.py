@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from codeloom.runtime import spread
+
 #: A word, or one character of Chinese or Japanese.
 _WORD = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]|[^\W_぀-ヿ㐀-䶿一-鿿豈-﫿]+")
 _SENTENCE_END = re.compile(r"[.!?:。！？：][\"')\]”」]*(?:\s|$)|\n")
@@ -149,7 +151,8 @@ def passage(item: np.ndarray, window: np.ndarray, gap: int = 80) -> tuple[int, i
 
     Verbatim runs of two words and more are chained in the order of both; up
     to `gap` foreign words may lie between two runs. A changed word ends a
-    run and costs only itself.
+    run and costs only itself. A stretch longer than one and a half times the
+    words found, plus one gap, is no passage but scattered phrases.
     """
     at: dict[tuple[int, int], list[int]] = defaultdict(list)
     for k in range(len(item) - 1):
@@ -182,7 +185,7 @@ def passage(item: np.ndarray, window: np.ndarray, gap: int = 80) -> tuple[int, i
             if over < n and qi < i and qj < j and j - (qj + qn) <= gap and best[q][0] + n - over > score:
                 score, begin = best[q][0] + n - over, best[q][1]
         best.append((score, begin))
-        if score > top[0]:
+        if score > top[0] and j + n - begin <= 1.5 * score + gap:
             top = (score, begin, j + n)
     return top
 
@@ -215,7 +218,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, gap:
         for b in batches:
             yield pd.DataFrame(scan_shard(index, b["doc_id"].tolist(), b["text"].tolist(), share, gap) if index else [], columns=["doc_id", "item_id", "covered", "begin_word", "end_word"])
 
-    return documents.where("text is not null").select("doc_id", "text").mapInPandas(scan, "doc_id bigint, item_id bigint, covered double, begin_word int, end_word int")
+    return spread(documents.where("text is not null").select("doc_id", "text")).mapInPandas(scan, "doc_id bigint, item_id bigint, covered double, begin_word int, end_word int")
 
 
 def scan_shard(index: SuffixIndex, doc_ids: list, texts: list[str], share: float, gap: int) -> list[tuple]:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.runtime import materialise
+from codeloom.runtime import materialise, spread
 
 #: Ranks of a public byte-pair vocabulary, on every executor.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -55,7 +55,7 @@ def token_sizes(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": [token_count(t, vocabulary) if t else 0 for t in b["text"]]})
 
-    return documents.select("doc_id", "text").mapInPandas(count, "doc_id bigint, tokens int")
+    return spread(documents.select("doc_id", "text")).mapInPandas(count, "doc_id bigint, tokens int")
 
 
 def plan_runs(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], dict[int, list[tuple[int, int]]], int]:
@@ -128,16 +128,18 @@ def pack(sizes: DataFrame, limits: dict[str, int], partitions: int | None = None
     """
     spark = sizes.sparkSession
     names = sorted(limits)
-    cuts = []
-    for k, name in enumerate(names):
-        c = limits[name]
-        n = F.coalesce("tokens", F.lit(0))
-        pieces = F.greatest(F.ceil(n / F.lit(c)), F.lit(1)).cast("int")
-        cuts.append(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i, k=k, c=c, n=n: F.struct(F.lit(k).alias("limit"), i.alias("piece"), F.least(n - i * c, F.lit(c)).cast("int").alias("size"))))
+    n = F.coalesce("tokens", F.lit(0))
+
+    def cut(k: int, c: int):
+        """The pieces of a document under one limit."""
+        piece = lambda i: F.struct(F.lit(k).alias("limit"), i.alias("piece"), F.least(n - i * c, F.lit(c)).cast("int").alias("size"))
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / F.lit(c)), F.lit(1)).cast("int") - 1), piece)
+
+    cuts = [cut(k, limits[name]) for k, name in enumerate(names)]
     rows = sizes.select("doc_id", F.explode(F.concat(*cuts)).alias("p")).select("doc_id", "p.*")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts_wanted = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = materialise(
-        rows.repartitionByRange(n, "limit", F.desc("size"), "doc_id", "piece").sortWithinPartitions("limit", F.desc("size"), "doc_id", "piece").withColumn("place", F.monotonically_increasing_id())
+        rows.repartitionByRange(parts_wanted, "limit", F.desc("size"), "doc_id", "piece").sortWithinPartitions("limit", F.desc("size"), "doc_id", "piece").withColumn("place", F.monotonically_increasing_id())
     )
     counts = sorted((r.part, r["count"]) for r in ranked.groupBy(F.shiftright("place", 33).alias("part")).count().collect())
     offset, total = {}, 0

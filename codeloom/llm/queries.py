@@ -69,7 +69,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.split_sentences(table(spark, d, "documents").where("source <> 'file'")).select("doc_id", "end_offset")
+    return sentences.split_sentences(table(spark, d, "documents").where("not source <=> 'file'")).select("doc_id", "end_offset")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p5_found, p5_pieces, p6_found, p6_pairs, p8_pack, p8_fill, p9_found, p9_report, p10_found)}
