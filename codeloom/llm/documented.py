@@ -88,7 +88,7 @@ def newest_functions(nodes: DataFrame) -> DataFrame:
         "signature",
         "docstring",
         F.least("start_line", "end_line").alias("first"),
-        F.greatest("start_line", "end_line").alias("last"),
+        F.when(F.col("start_line").isNotNull() & F.col("end_line").isNotNull(), F.greatest("start_line", "end_line")).alias("last"),
     )
 
 
