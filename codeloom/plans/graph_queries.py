@@ -1,2 +1,409 @@
-QUERIES = {}
-SQL = {}
+"""Catalogue: graph, aggregate and resolution queries over nodes, edges and files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeloom.functions import scoring
+from codeloom.functions.constants import GENERATED_FILE, LOW_VALUE_PATH
+from codeloom.operators import aggregates, graph, resolve
+from codeloom.plans.base import FILES, N, R, W, edges, files, nodes
+from codeloom.plans.base import graph as load
+from codeloom.runtime import materialise, table
+from codeloom.sources import sinks
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"{W} select any_value(n.name) as name, target id, count(*) callers from e join n on n.id = target where e.kind = 'calls' group by target order by callers desc, id limit 10")
+def top_called(spark: SparkSession, d: str) -> DataFrame:
+    n, e = nodes(spark, d), edges(spark, d)
+    e = graph.attached(e, n)
+    counts = e.where("kind = 'calls'").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("callers")).orderBy(F.desc("callers"), "id").limit(10)
+    return counts.join(n.select("id", "name"), "id")
+
+
+@query(f"""{W}, {FILES} select 'nodes' metric, kind as key, count(*) as value from n group by 2 union all select 'edges', kind, count(*) from e group by 2
+  union all select 'files', language, count(*) from f group by 2 union all select 'total_nodes', '', count(*) from n union all select 'total_edges', '', count(*) from e union all select 'total_files', '', count(*) from f""")
+def graph_stats(spark, d):
+    n = nodes(spark, d)
+    return aggregates.graph_stats(n, graph.attached(edges(spark, d), n), files(spark, d))
+
+
+@query("""with i as (select distinct id from nodes) select source, target, kind, coalesce(line, -1) as line, coalesce(col, -1) as col from edges
+  where source in (from i) and target in (from i) group by all""")
+def edges_dedup_integrity(spark, d):
+    e = table(spark, d, "edges").select("source", "target", "kind", "line", "col")
+    return sinks.attached_edges(e, table(spark, d, "nodes"))
+
+
+@query(f"with {N} select id, name from n where length(id) > 0 and length(kind) > 0 and length(name) > 0 and length(file_path) > 0 and length(language) > 0")
+def valid_nodes(spark, d):
+    return sinks.valid_nodes(nodes(spark, d)).select("id", "name")
+
+
+@query(f"with {N} select id, name, kind from n where kind in ('class', 'struct') and language in ('go', 'java') order by name, id limit 100")
+def nodes_by_kind_filter(spark, d):
+    return nodes(spark, d).where("kind in ('class', 'struct') and language in ('go', 'java')").select("id", "name", "kind").orderBy("name", "id").limit(100)
+
+
+@query(f"with {N} select id, name from n where starts_with(name, 'merge') order by name, id limit 20")
+def name_prefix(spark, d):
+    return nodes(spark, d).where(F.col("name").startswith("merge")).select("id", "name").orderBy("name", "id").limit(20)
+
+
+@query(f"with {N} select id, name from n where contains(lower(name), 'cache') and not starts_with(lower(name), 'cache') order by length(name), id limit 30")
+def name_substring(spark, d):
+    low = F.lower("name")
+    return nodes(spark, d).where(low.contains("cache") & ~low.startswith("cache")).select("id", "name").orderBy(F.length("name"), "id").limit(30)
+
+
+@query(f"with {N} select id, unnest(decorators) decorator from n where len(decorators) > 0")
+def decorated_nodes(spark, d):
+    return nodes(spark, d).select("id", F.explode("decorators").alias("decorator"))
+
+
+@query(f"with {N} select id, name, file_path from n where is_exported and kind in ('function', 'class')")
+def exported_symbols(spark, d):
+    return nodes(spark, d).where("is_exported and kind in ('function', 'class')").select("id", "name", "file_path")
+
+
+@query(f"with {N} select id, qualified_name from n where regexp_matches(qualified_name, '^.*::scan[^:]*$') and kind in ('function', 'method', 'class', 'interface', 'struct')")
+def qualified_wildcard(spark, d):
+    return nodes(spark, d).where(F.col("qualified_name").rlike("^.*::scan[^:]*$") & F.col("kind").isin("function", "method", "class", "interface", "struct")).select("id", "qualified_name")
+
+
+@query(f"{W} select a.file_path, count(*) inner_edges from e join n a on a.id = source join n b on b.id = target where a.file_path = b.file_path group by 1")
+def intra_file_edges(spark, d):
+    n, e = nodes(spark, d).select("id", "file_path"), edges(spark, d)
+    a, b = n.select(F.col("id").alias("source"), "file_path"), n.select(F.col("id").alias("target"), F.col("file_path").alias("other"))
+    return e.join(a, "source").join(b, "target").where("file_path = other").groupBy("file_path").agg(F.count("*").alias("inner_edges"))
+
+
+@query(f"{W} select distinct a.file_path file, b.file_path depends_on from e join n a on a.id = source join n b on b.id = target where e.kind <> 'contains' and a.file_path <> b.file_path")
+def file_dependencies(spark, d):
+    return graph.file_dependencies(nodes(spark, d), edges(spark, d))
+
+
+@query(f"{W} select b.file_path file, count(distinct a.file_path) dependents from e join n a on a.id = source join n b on b.id = target where e.kind <> 'contains' and a.file_path <> b.file_path group by 1")
+def file_dependents(spark, d):
+    return graph.file_dependencies(nodes(spark, d), edges(spark, d)).groupBy(F.col("depends_on").alias("file")).agg(F.count("*").alias("dependents"))
+
+
+@query(f"{W} select source, target, e.kind, b.name target_name, b.kind target_kind from e join n a on a.id = source join n b on b.id = target where a.file_path <> b.file_path and e.kind = 'extends'")
+def cross_file_incoming(spark, d):
+    n = nodes(spark, d)
+    a = n.select(F.col("id").alias("source"), F.col("file_path").alias("f1"))
+    b = n.select(F.col("id").alias("target"), F.col("file_path").alias("f2"), F.col("name").alias("target_name"), F.col("kind").alias("target_kind"))
+    return edges(spark, d).where("kind = 'extends'").join(a, "source").join(b, "target").where("f1 <> f2").select("source", "target", "kind", "target_name", "target_kind")
+
+
+@query(f"{W} select source, target, kind from (select * from e where source in (select id from n where kind = 'class') and target in (select id from n where kind = 'class'))")
+def induced_edges(spark, d):
+    n = nodes(spark, d)
+    return graph.subgraph(n.where("kind = 'class'"), edges(spark, d)).select("source", "target", "kind")
+
+
+@query(f"{W} select id, name from n where kind in ('function', 'method', 'class') and not coalesce(is_exported, false) and id not in (select target from e0 where kind <> 'contains')")
+def dead_code(spark, d):
+    return graph.dead_code(nodes(spark, d), edges(spark, d)).select("id", "name")
+
+
+@query(f"""{W} select id, coalesce(o.out_degree, 0) out_degree, coalesce(o.calls_out, 0) calls_out, coalesce(o.children, 0) children, coalesce(i.in_degree, 0) in_degree, coalesce(i.callers, 0) callers from n
+  left join (select source, count(*) out_degree, count(*) filter (kind = 'calls') calls_out, count(*) filter (kind = 'contains') children from e group by 1) o on o.source = id
+  left join (select target, count(*) in_degree, count(*) filter (kind = 'calls') callers from e group by 1) i on i.target = id""")
+def node_metrics(spark, d):
+    n, e = load(spark, d)
+    return graph.node_metrics(n, e)
+
+
+@query(f"""{W}, c as (select b.file_path, count(*) inner_edges from e join n a on a.id = source join n b on b.id = target where a.file_path = b.file_path group by 1),
+  best as (select * from c order by inner_edges desc, file_path limit 20)
+  select file_path, inner_edges, coalesce(lead(inner_edges) over (order by inner_edges desc, file_path), 0) runner_up from best where not (regexp_matches(lower(file_path), '{LOW_VALUE_PATH}') or regexp_matches(file_path, '{GENERATED_FILE}'))""")
+def dominant_file(spark, d):
+    return aggregates.dominant_files(nodes(spark, d), edges(spark, d)).na.fill(0, ["runner_up"])
+
+
+@query(f"""with {N}, best as (select file_path, count(*) n from n where kind = 'struct' group by 1 order by n desc, file_path limit 20)
+  select file_path, n, round(n / sum(n) over (), 6) share from best where not (regexp_matches(lower(file_path), '{LOW_VALUE_PATH}') or regexp_matches(file_path, '{GENERATED_FILE}'))""")
+def top_route_share(spark, d):
+    return aggregates.concentration(nodes(spark, d), "struct")
+
+
+@query(f"""{W}, rows as (select distinct r.name route, h.name as handler, h.file_path handler_file, source, target from e join n r on r.id = source join n h on h.id = target
+  where r.kind = 'function' and h.kind in ('function', 'method', 'class') and e.kind in ('references', 'calls') order by route, source, handler, target limit 40)
+  select route, handler, handler_file from rows where not (regexp_matches(lower(handler_file), '{LOW_VALUE_PATH}') or regexp_matches(handler_file, '{GENERATED_FILE}'))""")
+def routing_manifest(spark, d):
+    return aggregates.routing_manifest(nodes(spark, d), edges(spark, d), "function")
+
+
+@query(f"with {FILES} select regexp_replace(path, '/?[^/]*$', '') directory, count(*) files, count(distinct language) languages from f group by 1")
+def module_structure(spark, d):
+    return aggregates.module_structure(files(spark, d))
+
+
+@query(f"""with {FILES}, p as (select split_part(path, '/', 1) repo, path, language from f),
+  dirs as (select distinct repo, array_to_string(list_slice(string_split(path, '/'), 1, k), '/') dir from p, range(1, 200) r(k) where k < len(string_split(path, '/')))
+  select repo, 'files' metric, '' as key, count(*) as value from p group by 1 union all select repo, 'language', language, count(*) from p group by 1, 3 union all select repo, 'directories', '', count(*) from dirs group by 1""")
+def repo_summary(spark, d):
+    return aggregates.repo_summary(files(spark, d))
+
+
+@query(f"with {FILES} select regexp_extract(path, '\\.([^./]+)$', 1) extension, count(*) files, sum(size) bytes from f group by 1")
+def files_by_extension(spark, d):
+    return files(spark, d).groupBy(F.regexp_extract("path", r"\.([^./]+)$", 1).alias("extension")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+@query(f"with {FILES} select count(*) files, count(distinct language) languages, round(avg(size), 6) average_size from f")
+def file_index_stats(spark, d):
+    return files(spark, d).agg(F.count("*").alias("files"), F.countDistinct("language").alias("languages"), F.round(F.avg("size"), 6).alias("average_size"))
+
+
+def _starts(n: DataFrame) -> DataFrame:
+    return n.where("kind = 'interface'").select("id")
+
+
+def _walk_sql(direction: str, kinds: str | None, depth: int | None, starts: str = "select id from n where kind = 'interface'") -> str:
+    a, b = ("source", "target") if direction == "out" else ("target", "source")
+    where = f"where e.kind in ({kinds})" if kinds else ""
+    stop = f"and w.depth < {depth}" if depth else ""
+    return f"walk(id, depth) as (select id, 0 from ({starts}) union select s.there, w.depth + 1 from walk w join (select distinct {a} here, {b} there from e {where}) s on s.here = w.id {stop})"
+
+
+_CALLER = "'calls', 'references', 'imports', 'instantiates'"
+
+
+@query(f"{R}, {_walk_sql('out', None, 3)} select id, min(depth)::int as depth from walk group by id")
+def bfs_depth(spark, d):
+    n, e = load(spark, d, "kind")
+    return graph.levels(_starts(n), graph.links(e, "out"), 3)
+
+
+@query(f"{R}, {_walk_sql('in', _CALLER, 2)} select id, min(depth)::int as depth from walk group by id")
+def callers_2(spark, d):
+    n, e = load(spark, d, "kind")
+    return graph.callers(_starts(n), e, 2)
+
+
+@query(f"{R}, {_walk_sql('out', _CALLER, 2)} select id, min(depth)::int as depth from walk group by id")
+def callees_2(spark, d):
+    n, e = load(spark, d, "kind")
+    return graph.callees(_starts(n), e, 2)
+
+
+@query(f"""{R}, {_walk_sql('in', _CALLER, 2).replace('walk', 'up')}, {_walk_sql('out', _CALLER, 2).replace('walk', 'down')}
+  select id, min(depth)::int as depth, 'caller' side from up group by id having min(depth) > 0 union all select id, min(depth)::int, 'callee' from down group by id having min(depth) > 0""")
+def call_graph(spark, d):
+    n, e = load(spark, d, "kind")
+    return graph.call_graph(_starts(n), e, 2)
+
+
+_TYPES = "'extends', 'implements'"
+
+
+@query(f"""{R}, {_walk_sql('out', _TYPES, 40).replace('walk', 'up')}, {_walk_sql('in', _TYPES, 40).replace('walk', 'down')}
+  select id, min(depth)::int as depth, 'ancestor' side from up group by id having min(depth) > 0 union all select id, min(depth)::int, 'descendant' from down group by id having min(depth) > 0""")
+def type_hierarchy(spark, d):
+    n, e = load(spark, d, "kind")
+    return graph.type_hierarchy(_starts(n), e)
+
+
+@query(f"{W} select source, target, kind, line from e where target in (select id from n where kind = 'interface')")
+def find_usages(spark, d):
+    n = nodes(spark, d)
+    return graph.usages(_starts(n), graph.attached(edges(spark, d), n)).select("source", "target", "kind", "line")
+
+
+@query(f"""{R}, inside as (select distinct source here, target there from e where kind = 'contains' and source in (select id from n where kind in ('class', 'interface', 'struct', 'trait', 'protocol', 'module', 'enum'))),
+  step as (select here, there, 0 c from inside union select target, source, 1 from e where kind <> 'contains'),
+  walk(id, depth) as (select id, 0 from n where kind = 'interface' union select s.there, w.depth + s.c from walk w join step s on s.here = w.id where w.depth + s.c <= 2)
+  select id, min(depth)::int as depth from walk group by id""")
+def impact_radius(spark, d):
+    n, e = load(spark, d, "kind")
+    return graph.impact_radius(_starts(n), n, e, 2)
+
+
+@query(f"""{R}, inside as (select distinct source here, target there from e where kind = 'contains' and source in (select id from n where kind in ('class', 'interface', 'struct', 'trait', 'protocol', 'module', 'enum'))),
+  step as (select here, there, 0 c from inside union select target, source, 1 from e where kind <> 'contains'),
+  walk(id, depth) as (select id, 0 from n where kind = 'interface' union select s.there, w.depth + s.c from walk w join step s on s.here = w.id where w.depth + s.c <= 2),
+  m as (select id, min(depth)::int as depth from walk group by id)
+  select depth, count(*) nodes, count(distinct file_path) files from m join n using (id) group by depth""")
+def impact_report(spark, d):
+    n, e = load(spark, d, "kind", "file_path")
+    return graph.impact_report(graph.impact_radius(_starts(n), n, e, 2), n)
+
+
+@query(f"{W} select source parent, count(*) children from e where kind = 'contains' group by 1")
+def children(spark, d):
+    n = nodes(spark, d)
+    return graph.attached(edges(spark, d), n).where("kind = 'contains'").groupBy(F.col("source").alias("parent")).agg(F.count("*").alias("children"))
+
+
+def _ends(n: DataFrame, e: DataFrame) -> tuple[str, str]:
+    """The least node that calls and the greatest that is called."""
+    calls = e.where("kind = 'calls'")
+    return calls.agg(F.min("source")).first()[0], calls.agg(F.max("target")).first()[0]
+
+
+@query(f"""{R}, s as (select min(source) a, max(target) b from e where kind = 'calls'), {_walk_sql('out', "'calls', 'contains', 'references', 'imports', 'instantiates'", 24, 'select a id from s')}
+  select case when min(depth) is null then -1 else min(depth) end::int as length from walk where id = (select b from s)""")
+def shortest_path_length(spark, d):
+    n, e = load(spark, d)
+    a, b = _ends(n, e)
+    path = graph.shortest_path(a, b, e, ["calls", "contains", "references", "imports", "instantiates"], 24)
+    return path.agg(F.coalesce(F.max("step"), F.lit(-1)).cast("int").alias("length"))
+
+
+@query(f"""{R}, dep as (select distinct a.file_path x, b.file_path y from e join n a on a.id = source join n b on b.id = target where e.kind in ('extends', 'implements') and a.file_path <> b.file_path),
+  reach(x, y) as (select x, y from dep union select r.x, dep.y from reach r join dep on dep.x = r.y),
+  pair as (select a.x, a.y from reach a join reach b on a.x = b.y and a.y = b.x)
+  select x id, least(x, min(y)) as "group" from pair group by x""")
+def file_cycles(spark, d):
+    n = nodes(spark, d)
+    deps = graph.file_dependencies(n, edges(spark, d).where("kind in ('extends', 'implements')"))
+    return graph.cyclic_groups(deps)
+
+
+@query(f"""{W}, s as (select min(source) i from e where kind = 'calls'), a as (select * from e, s where source = i or target = i)
+  select distinct case when source = i and kind = 'contains' then 'child' when kind = 'contains' then 'parent' when source = i and kind in ('type_of', 'returns') then 'type' when source = i then 'outgoing' else 'incoming' end as role,
+    case when source = i then target else source end id, kind edge_kind from a union all select 'focal', i, '' from s""")
+def node_context(spark, d):
+    n, e = load(spark, d)
+    return graph.node_context(_ends(n, e)[0], n, e)
+
+
+@query(f"""{W}, p as (select e.source, e.target, e.line, n.file_path from e join n on n.id = e.source where e.kind = 'calls' and line > 0),
+  s as (select id, file_path, least(start_line, end_line) a, greatest(start_line, end_line) b from n where kind in ('method', 'function', 'component') and start_line is not null and end_line is not null)
+  select source, target, line, id enclosing from (
+    select p.source, p.target, p.line, s.id, row_number() over (partition by p.source, p.target, p.line order by s.a desc nulls last, s.id) r
+    from p left join s on s.file_path = p.file_path and s.a <= p.line and s.b >= p.line) where r = 1""")
+def enclosing_span(spark, d):
+    n = nodes(spark, d)
+    p = graph.attached(edges(spark, d), n).where("kind = 'calls' and line > 0").select("source", "target", "line").distinct()
+    p = p.join(n.select(F.col("id").alias("source"), "file_path"), "source")
+    return graph.enclosing(p, n).select("source", "target", "line", "enclosing")
+
+
+# resolution: every edge but contains is a reference by the name of its target
+
+
+def references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    n = nodes(spark, d)
+    src = n.select(F.col("id").alias("source"), "file_path", "language")
+    dst = n.select(F.col("id").alias("target"), F.col("name").alias("reference_name"))
+    e = edges(spark, d).where("kind <> 'contains'").join(src, "source").join(dst, "target")
+    refs = e.select(F.sha2(F.concat_ws(":", "source", "target", "kind", "line", "col"), 256).alias("ref_id"), F.col("source").alias("from_node_id"), "reference_name", F.col("kind").alias("reference_kind"), "line", "col", "file_path", "language")
+    return materialise(refs), n
+
+
+_REFS = f"""{W}, refs as (select sha256(concat_ws(':', source, target, e.kind, e.line, e.col)) ref_id, source from_node_id, b.name reference_name, e.kind reference_kind, e.line, a.file_path, a.language
+  from e join n a on a.id = source join n b on b.id = target where e.kind <> 'contains')"""
+
+
+@query(f"""{_REFS}, c as (
+    select ref_id, 0 tier, 0.9 conf, not coalesce(n.language = refs.language, false) a, not coalesce(n.is_exported, false) c, (n.visibility is distinct from 'public') d, n.id from refs join n on n.name = reference_name
+    union all select ref_id, 1, 0.95, not coalesce(n.language = refs.language, false), not coalesce(n.is_exported, false), (n.visibility is distinct from 'public'), n.id from refs join n on n.qualified_name = reference_name
+    union all select ref_id, 2, 0.85, not coalesce(n.language = refs.language, false), not coalesce(n.is_exported, false), (n.visibility is distinct from 'public'), n.id from refs join n on lower(n.name) = lower(reference_name))
+  select ref_id, target, conf::double confidence from (select ref_id, id target, conf, row_number() over (partition by ref_id order by tier, a, c, d, id) r from c) where r = 1""")
+def resolve_tiers(spark, d):
+    refs, n = references(spark, d)
+    return resolve.resolve_live(refs, n).select("ref_id", "target", "confidence")
+
+
+@query(f"""{_REFS}, one as (select lower(name) k, min(id) target, min(language) lang from n where kind in ('function', 'method', 'class') group by 1 having count(*) = 1)
+  select ref_id, target, case when lang = language then 0.5 else 0.3 end::double confidence from refs join one on k = lower(reference_name)""")
+def resolve_fuzzy(spark, d):
+    refs, n = references(spark, d)
+    return resolve.resolve_fuzzy(refs, n)
+
+
+@query()
+def resolve_exact(spark, d):
+    refs, n = references(spark, d)
+    return resolve.resolve_exact(refs, n)
+
+
+@query()
+def resolve_cascade(spark, d):
+    refs, n = references(spark, d)
+    return resolve.cascade(refs, n)
+
+
+@query()
+def resolved_edges(spark, d):
+    refs, n = references(spark, d)
+    return resolve.created_edges(refs, resolve.resolve_exact(refs, n), n)
+
+
+@query(f"""{W}, m as (select distinct source as owner, target member, name from e join n on n.id = target where e.kind = 'contains' and n.kind = 'method')
+  select distinct b.member source, a.member target from e join m b on b.owner = e.source join m a on a.owner = e.target and a.name = b.name where e.kind in ('extends', 'implements')""")
+def override_edges(spark, d):
+    n = nodes(spark, d)
+    return resolve.override_edges(n, graph.attached(edges(spark, d), n))
+
+
+@query(f"""{W}, m as (select distinct source as owner, name from e join n on n.id = target where e.kind = 'contains' and n.kind = 'method'),
+  want as (select m.owner target, m.name from m join n on n.id = m.owner where n.kind = 'interface'), have as (select m.owner source, m.name from m join n on n.id = m.owner where n.kind in ('struct', 'class'))
+  select source, target from (select source, target, count(*) got from have join want using (name) group by 1, 2) join (select target, count(*) need from want group by 1) using (target) where got = need""")
+def structural_implements(spark, d):
+    n = nodes(spark, d)
+    return resolve.structural_implements(n, graph.attached(edges(spark, d), n))
+
+
+@query(f"""with {N}, names as (select name, min(id) target from n where kind = 'function' group by 1 having count(*) = 1), used as (select id source, unnest(decorators) dec from n)
+  select distinct source, target from used join names on name = regexp_extract(dec, '([A-Za-z_]\\w*)(?:\\(.*)?$', 1)""")
+def decorator_edges(spark, d):
+    return resolve.decorator_edges(nodes(spark, d))
+
+
+@query(f"""{W}, a as (select id, regexp_extract(name, '([A-Za-z][a-z]+)$', 1) channel from n where kind = 'function'), b as (select id, regexp_extract(name, '([A-Za-z][a-z]+)$', 1) channel from n where kind = 'class'),
+  x as (select channel from a group by 1 having count(*) <= 40), y as (select channel from b group by 1 having count(*) <= 40)
+  select distinct a.id source, b.id target, a.channel from a join b using (channel) where channel in (from x) and channel in (from y)""")
+def channel_pairs(spark, d):
+    n = nodes(spark, d).withColumn("channel", F.regexp_extract("name", "([A-Za-z][a-z]+)$", 1))
+    return resolve.channel_pairs(n.where("kind = 'function'").select("id", "channel"), n.where("kind = 'class'").select("id", "channel"), "channel", 40)
+
+
+@query(f"""with {N}, old as (select distinct on (id) id, kind, name, file_path from (select * from nodes order by updated_at))
+  , e0 as (select distinct lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) source, lower(regexp_replace(target, '^\\s+|\\s+$', '', 'g')) target, lower(trim(kind)) kind, coalesce(line, -1) line, coalesce(col, -1) col from edges),
+  new as (select kind, name, file_path, max(id) id from n group by 1, 2, 3)
+  select distinct source, new.id target, e0.kind, e0.line, e0.col from e0 join n o on o.id = target join new on new.kind = o.kind and new.name = o.name and new.file_path = o.file_path""")
+def retargeted_edges(spark, d):
+    n = nodes(spark, d)
+    return resolve.retargeted(edges(spark, d), n, n)
+
+
+@query("""with r as (select {k} target, count(*) c from edges where {k} not in (select id from nodes) group by 1) select target, c refs from r where c <= 500""".format(k="lower(regexp_replace(target, '^\\s+|\\s+$', '', 'g'))"))
+def retryable_refs(spark, d):
+    from codeloom.runtime import id_key
+
+    e = table(spark, d, "edges").select(id_key("target").alias("name_tail"), F.lit("failed").alias("status"))
+    failed = e.join(table(spark, d, "nodes").select(F.col("id").alias("name_tail")).distinct(), "name_tail", "left_anti")
+    return resolve.retryable(failed).groupBy(F.col("name_tail").alias("target")).agg(F.count("*").alias("refs"))
+
+
+@query(f"""with {N}, x as (select *, regexp_matches(lower(file_path), '{LOW_VALUE_PATH}') or regexp_matches(file_path, '{GENERATED_FILE}') low from n)
+  select id, round(case when regexp_matches(file_path, '{GENERATED_FILE}') then 0.1 else 1.0 end * (case kind when 'function' then 10 when 'method' then 10 when 'class' then 8 when 'interface' then 8 when 'struct' then 8 when 'constant' then 5 when 'field' then 5 when 'namespace' then 4 when 'module' then 4 else 3 end
+    + case when contains(lower(file_path), 'cache') then 5 else 0 end - case when low then 10 else 0 end
+    + case when lower(name) = 'cache' then 30 when starts_with(lower(name), 'cache') then 20 when contains(lower(name), 'cache') then 10 else 0 end), 6)::double score from x""")
+def rescore_bonus(spark, d):
+    score = scoring.rescored(F.lit(0.0), "cache", F.col("kind"), F.col("name"), F.col("file_path"))
+    return nodes(spark, d).select("id", F.round(score, 6).alias("score"))
+
+
+@query()
+def call_paths(spark, d):
+    n, e = load(spark, d, "kind", "file_path")
+    return graph.call_paths(n.where("kind = 'function'").groupBy("file_path").agg(F.min("id").alias("id")).select("id"), e, 2)
