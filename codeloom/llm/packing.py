@@ -128,6 +128,7 @@ def pack(sizes: DataFrame, limits: dict[str, int], partitions: int | None = None
     """
     spark = sizes.sparkSession
     names = sorted(limits)
+    sizes = materialise(sizes)  # the range sort reads them twice, and counting tokens costs the most
     n = F.coalesce("tokens", F.lit(0))
 
     def cut(k: int, c: int):
