@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.invalid_files import file_texts, newest_files
-from codeloom.runtime import spread
+from codeloom.runtime import materialise, spread
 
 #: Banners that a generator writes at the top of a file; fixed values.
 GENERATED_BANNER = re.compile(
@@ -96,7 +96,7 @@ def classify_files(documents: DataFrame, files: DataFrame, least_copy: int = 40)
     Statistics are taken where a text is read; only they are shuffled. Copies
     meet by the hash of their text, counted before the shuffle.
     """
-    stats = spread(file_texts(documents, "text")).mapInPandas(_layouts, _FEATURES)
+    stats = materialise(spread(file_texts(documents, "text")).mapInPandas(_layouts, _FEATURES))  # the copies are found in it and joined to it
     rows = stats.join(newest_files(files), "path").withColumn("repo", F.split_part("path", F.lit("/"), F.lit(1)))
     rows = rows.withColumn("stamp", F.col("vendored") | F.col("path").rlike(VENDORED_DIR))
     copies = (
