@@ -106,7 +106,9 @@ def plan_runs(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int,
             put(gap, start + full + bool(rest), count - full - bool(rest))
             left, first = left - taken, first + taken
     if n := histogram.get(0, 0):  # texts without tokens take no room and are spread evenly
-        containers = max(containers, 1)
+        if not containers:
+            containers = 1
+            put(capacity, 0, 1)
         per = -(-n // containers)
         out.append((0, 0, n, 0, per))
     return out, gaps, containers

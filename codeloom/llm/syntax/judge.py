@@ -21,6 +21,8 @@ def check_python(text: str) -> None:
             symtable.symtable(text, "<text>", "exec")  # parses without making a tree of Python objects
         except SyntaxError:
             ast.parse(text)  # scoping rules are no matter of syntax
+        except RecursionError:
+            pass  # the parser took it; only the walk over its very deep tree failed
 
 
 def _no_constant(name: str):
