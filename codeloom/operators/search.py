@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import scoring, text
 from codeloom.plans.dsl import Query
+from codeloom.runtime import materialise, spread
 
 #: Published BM25 parameters and the weights of the node columns.
 K1, B = 1.2, 0.75
@@ -40,11 +41,14 @@ def bm25(docs: DataFrame, key: str, weights: dict[str, float], query: str, prefi
     terms = query_terms(query)
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    tokens = {c: text.fts_tokens(F.coalesce(F.col(c), F.lit(""))) for c in weights}
     hit = (lambda t: lambda x: x.startswith(t)) if prefix else (lambda t: lambda x: x == t)
-    tfs = [sum((F.size(F.filter(tokens[c], hit(t))) * F.lit(w) for c, w in weights.items()), F.lit(0.0)).alias(f"tf{k}") for k, t in enumerate(terms)]
-    seen = [F.greatest(*(F.size(F.filter(tokens[c], hit(t))) for c in weights), F.lit(0)).alias(f"n{k}") for k, t in enumerate(terms)]
-    rows = docs.select(key, sum((F.size(tokens[c]) for c in weights), F.lit(0)).alias("len"), *tfs, *seen)
+    cols, ks = list(weights), range(len(terms))
+    # one step each, so that a text is cut into tokens once and not per term
+    cut = spread(docs.select(key, *(F.col(c).alias(f"_c{i}") for i, c in enumerate(cols)))).select(key, *(text.fts_tokens(F.coalesce(F.col(f"_c{i}"), F.lit(""))).alias(f"_t{i}") for i in range(len(cols))))
+    counted = cut.select(key, sum((F.size(f"_t{i}") for i in range(len(cols))), F.lit(0)).alias("len"), *(F.size(F.filter(f"_t{i}", hit(terms[k]))).alias(f"_n{i}_{k}") for i in range(len(cols)) for k in ks))
+    tfs = [sum((F.col(f"_n{i}_{k}") * F.lit(weights[c]) for i, c in enumerate(cols)), F.lit(0.0)).alias(f"tf{k}") for k in ks]
+    seen = [F.greatest(*(F.col(f"_n{i}_{k}") for i in range(len(cols))), F.lit(0)).alias(f"n{k}") for k in ks]
+    rows = materialise(counted.select(key, "len", *tfs, *seen))  # a few numbers per document, read for the statistics and again for the scores
     stats = rows.agg(F.count("*").alias("N"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"n{k}") > 0).alias(f"df{k}") for k in range(len(terms))))
     both = rows.where(" or ".join(f"n{k} > 0" for k in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
