@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import scoring
 from codeloom.functions.constants import GENERATED_FILE, LOW_VALUE_PATH
-from codeloom.operators import aggregates, graph, resolve
-from codeloom.plans.base import FILES, N, R, W, edges, files, nodes
+from codeloom.operators import aggregates, context, graph, resolve, synthesis
+from codeloom.plans.base import FILES, N, R, W, edges, files, nodes, texts
 from codeloom.plans.base import graph as load
 from codeloom.runtime import materialise, table
 from codeloom.sources import sinks
@@ -407,3 +407,49 @@ def rescore_bonus(spark, d):
 def call_paths(spark, d):
     n, e = load(spark, d, "kind", "file_path")
     return graph.call_paths(n.where("kind = 'function'").groupBy("file_path").agg(F.min("id").alias("id")).select("id"), e, 2)
+
+
+TASK = "Why does hashLedger in scanNode fail when the snapshot cache is stale?"
+
+
+@query()
+def entry_points(spark, d):
+    return context.entry_points(nodes(spark, d), TASK).withColumn("score", F.round("score", 6))
+
+
+@query()
+def task_context(spark, d):
+    n, e = load(spark, d, "kind", "name", "qualified_name", "file_path", "start_line", "end_line", "docstring", "signature")
+    return context.build(TASK, n, e, texts(spark, d))["blocks"]
+
+
+@query()
+def task_summary(spark, d):
+    n, e = load(spark, d, "kind", "name", "qualified_name", "file_path", "start_line", "end_line", "docstring", "signature")
+    return context.build(TASK, n, e, texts(spark, d))["summary"]
+
+
+@query(f"""with {FILES}, p as (select path, string_split(path, '/') s from f) select array_to_string(s[1:k], '/') directory, k::int as level, count(*) files from p, range(1, 5) r(k) where k < len(s) group by 1, 2""")
+def file_tree(spark, d):
+    return context.file_tree(files(spark, d))
+
+
+@query()
+def explore_terms(spark, d):
+    return context.explore(nodes(spark, d), texts(spark, d), ["hashLedger", "scanNode", "log"])
+
+
+@query()
+def event_edges(spark, d):
+    return synthesis.event_edges(nodes(spark, d), texts(spark, d))
+
+
+@query()
+def observer_edges(spark, d):
+    return synthesis.observer_edges(nodes(spark, d), texts(spark, d))
+
+
+@query(f"""with {N}, g as (select *, regexp_replace(file_path, '/?[^/]*$', '') dir from n where language = 'go')
+  select distinct a.id source, b.id target from g a join g b on a.kind in ('struct', 'interface') and b.kind = 'method' and split_part(b.qualified_name, '::', 1) = a.name and a.dir = b.dir and a.file_path <> b.file_path""")
+def receiver_edges(spark, d):
+    return synthesis.receiver_edges(nodes(spark, d))

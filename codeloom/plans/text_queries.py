@@ -110,6 +110,11 @@ def extracted_rows(spark, d):
     return rows.groupBy("language", "tag", "kind").agg(F.count("*").alias("rows"))
 
 
+@query()
+def code_chunks(spark, d):
+    return extract.code_chunks(texts(spark, d)).select("id", "symbol_name", "node_kind", "start_line", "end_line")
+
+
 @query()
 def framework_routes(spark, d):
     return extract.framework_routes(texts(spark, d))

@@ -174,3 +174,34 @@ def framework_routes(texts: DataFrame) -> DataFrame:
 
     found = [F.when(F.col("language").isin(*languages), routes(name, pattern, *groups)) for name, languages, pattern, *groups in FRAMEWORKS]
     return texts.select("path", F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("m")).select("m.framework", "path", "m.method", "m.route", "m.handler")
+
+
+def code_chunks(texts: DataFrame, size: int = 81, overlap: int = 5, max_bytes: int = 256_000) -> DataFrame:
+    """(id, path, symbol_name, node_kind, parent_name, start_line, end_line, content, signature) of texts (path, language, text).
+
+    One chunk for every definition; files without definitions are cut into
+    overlapping windows of lines. Texts over max_bytes are skipped.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["id", "path", "symbol_name", "node_kind", "parent_name", "start_line", "end_line", "content", "signature"]
+        for b in batches:
+            rows = []
+            for p, g, t in zip(b["path"], b["language"], b["text"]):
+                lines = t.split("\n")
+                defs = [r for r in REGISTRY[g](p, t) if r["tag"] == "node" and r["kind"] != "file"] if g in REGISTRY else []
+                for k, r in enumerate(defs):
+                    owner = r["qualified_name"].rpartition("::")[0] or None
+                    rows.append((f"{p}::{k}", p, r["name"], r["kind"], owner, r["start_line"], r["end_line"], "\n".join(lines[r["start_line"] - 1 : r["end_line"]]), r["signature"]))
+                if not defs:
+                    at, k = 0, 0
+                    while True:
+                        end = min(at + size, len(lines))
+                        rows.append((f"{p}::{k}", p, None, "window", None, at + 1, end, "\n".join(lines[at:end]), None))
+                        if end == len(lines):
+                            break
+                        at, k = end - overlap, k + 1
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    kinds = "id string, path string, symbol_name string, node_kind string, parent_name string, start_line int, end_line int, content string, signature string"
+    return texts.where(f"text is not null and octet_length(text) <= {max_bytes}").select("path", "language", "text").mapInPandas(run, kinds)
