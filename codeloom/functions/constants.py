@@ -37,7 +37,21 @@ TEST_PATH = (
     r"(?:^|/)(?:test|spec|tests?)\.|\.(?:test|spec)\.[jt]sx?$|_test\.(?:go|py|rb|dart)$|_spec\.rb$|(?:test|spec|tests?)\.(?:java|kt|scala|cs)$|tests?\.(?:swift)$|test_[^/]+\.(?:py|go)$"
     r"|(?:^|/)(?:tests?|__tests?__|spec|specs|test|testing)/|(?:^|/)(?:\.github|\.gitlab|\.circleci|\.travis|\.ci)/"
 )
-IGNORED_DIRS = "node_modules .git dist build out target vendor __pycache__ .venv venv .idea .vscode coverage .next .cache".split()
+IGNORED_DIRS = """
+.git node_modules bower_components jspm_packages web_modules .yarn .pnpm-store
+.next .nuxt .svelte-kit .turbo .vite .parcel-cache .angular .docusaurus storybook-static .vinxi .nitro out-tsc .vercel .netlify .wrangler
+dist build out .output coverage .nyc_output
+__pycache__ __pypackages__ .venv venv .pixi .pdm-build .mypy_cache .pytest_cache .ruff_cache .tox .nox .hypothesis .ipynb_checkpoints .eggs
+target .gradle obj vendor .build Pods Carthage DerivedData .swiftpm .dart_tool .pub-cache .cxx .externalNativeBuild vcpkg_installed .bloop .metals lua_modules .luarocks __history __recovery .cache
+""".split()
+#: Extension (lower case) to the name for display.
+DISPLAY_LANGUAGE = {
+    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "py": "python", "rs": "rust", "go": "go", "java": "java", "kt": "kotlin", "rb": "ruby", "c": "c", "h": "c", "cpp": "cpp", "cxx": "cpp", "cc": "cpp", "hpp": "cpp", "hh": "cpp",
+    "cs": "csharp", "swift": "swift", "php": "php", "lua": "lua", "dart": "dart", "scala": "scala", "html": "html", "htm": "html", "css": "css", "scss": "scss", "sass": "sass", "less": "less",
+    "json": "json", "toml": "toml", "yaml": "yaml", "yml": "yaml", "md": "markdown", "sh": "bash", "bash": "bash", "zsh": "zsh", "ps1": "powershell", "psm1": "powershell",
+    "sql": "sql", "xml": "xml", "svg": "xml", "tf": "hcl", "tfvars": "hcl",
+}
 
 PROSE_STOP_WORDS = """
 about above actually after again against almost along also always another anything around away back because been before behind being

@@ -88,4 +88,4 @@ def cosine(a: Column, b: Column) -> Column:
 
 def explore_budget(files: Column) -> Column:
     """Calls that an exploration may take, by the number of files."""
-    return F.when(files < 150, 1).when(files < 500, 2).when(files < 5000, 3).otherwise(5)
+    return F.when(files < 500, 1).when(files < 5000, 2).when(files < 15000, 3).when(files < 25000, 4).otherwise(5)

@@ -11,7 +11,7 @@ from pyspark.sql.column import Column
 from pyspark.sql.types import BooleanType
 
 from codeloom.functions import scoring
-from codeloom.functions.constants import IGNORED_DIRS, LANGUAGE_BY_EXTENSION
+from codeloom.functions.constants import DISPLAY_LANGUAGE, IGNORED_DIRS, LANGUAGE_BY_EXTENSION
 from codeloom.functions.text import mapped
 
 MAX_FILE_BYTES = 1_048_576
@@ -30,10 +30,10 @@ def detect_language(path: Column, content: Column | None = None, overrides: dict
     return F.coalesce(mapped(ext, table), shebang, F.lit("unknown"))
 
 
-def detect_language_short(path: Column) -> Column:
-    """Language by the lower-cased extension, or the bare extension."""
+def display_language(path: Column) -> Column:
+    """Language for display by the lower-cased extension, or the bare extension."""
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    return F.coalesce(mapped(ext, {k.lower(): v for k, v in LANGUAGE_BY_EXTENSION.items()}), ext)
+    return F.coalesce(mapped(ext, DISPLAY_LANGUAGE), ext)
 
 
 def should_index(path: Column, dirs: list[str] = IGNORED_DIRS, parts: tuple[str, ...] = ()) -> Column:

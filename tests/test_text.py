@@ -69,6 +69,9 @@ def test_scan_rules(spark, tmp_path):
     assert ignored("a/x.log") and ignored("build/q/r.ts") and not ignored("keep.log") and not ignored("src/build.ts")
     for p, g in (("a.ts", "typescript"), ("x/Y.JAVA", "unknown"), ("noext", "unknown")):
         assert one(spark, scan.detect_language(F.col("p")), p=p) == g
+    assert one(spark, scan.display_language(F.col("p")), p="a/B.TSX") == "typescript" and one(spark, scan.display_language(F.col("p")), p="a.odd") == "odd"
+    assert not one(spark, scan.should_index(F.col("p")), p="a/node_modules/b.ts") and one(spark, scan.should_index(F.col("p")), p="a/src/b.ts")
+    assert [r[0] for r in spark.createDataFrame([(100,), (500,), (20000,), (99999,)], "n int").select(scoring.explore_budget(F.col("n"))).collect()] == [1, 2, 4, 5]
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.py").write_text("print(1)")
     (tmp_path / "d" / "b.py").write_bytes(b"\0\1")
