@@ -185,17 +185,20 @@ def file_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.where("kind <> 'contains'").join(a, "source").join(b, "target").where("file <> depends_on").select("file", "depends_on").distinct()
 
 
-def cyclic_groups(pairs: DataFrame, a: str = "file", b: str = "depends_on", rounds: int = 64) -> DataFrame:
+def cyclic_groups(pairs: DataFrame, a: str = "file", b: str = "depends_on") -> DataFrame:
     """(id, group): strongly connected groups of more than one member; group is the least id of it.
 
     Trim, colour and cut: nodes without a way in or out are dropped first.
     Then the least id spreads forward and backward; nodes with the same colour
-    both ways are one group, are taken out, and the rest is repeated.
+    both ways are one group and are taken out. Links between nodes that differ
+    in either colour lie in no group and are cut, and the rest is repeated
+    until no link is left. The least id of the rest always settles, so every
+    round takes out at least one node.
     """
     spark = pairs.sparkSession
     left = materialise(pairs.select(F.col(a).alias("s"), F.col(b).alias("t")).where("s <> t").distinct())
     out = spark.createDataFrame([], "id string, grp string")
-    for _ in range(rounds):
+    while True:
         while True:  # trim
             n = left.count()
             left = materialise(left.join(left.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(left.select(F.col("s").alias("t")).distinct(), "t", "left_semi"))
@@ -214,9 +217,11 @@ def cyclic_groups(pairs: DataFrame, a: str = "file", b: str = "depends_on", roun
                 if settled:
                     break
             colour.append(c)
-        both = materialise(colour[0].join(colour[1].withColumnRenamed("c", "c2"), "id").where("c = c2").select("id", F.col("c").alias("grp")))
-        out = out.unionByName(both)
-        left = materialise(left.join(both.select(F.col("id").alias("s")), "s", "left_anti").join(both.select(F.col("id").alias("t")), "t", "left_anti"))
+        both = materialise(colour[0].join(colour[1].withColumnRenamed("c", "c2"), "id"))
+        out = out.unionByName(both.where("c = c2").select("id", F.col("c").alias("grp")))
+        rest = both.where("c <> c2")
+        here, there = rest.select(F.col("id").alias("s"), "c", "c2"), rest.select(F.col("id").alias("t"), "c", "c2")
+        left = materialise(left.join(here, "s").join(there, ["t", "c", "c2"]).select("s", "t"))
     sizes = out.groupBy("grp").count().where("count > 1").select("grp")
     return out.join(sizes, "grp", "left_semi").select("id", F.col("grp").alias("group"))
 

@@ -60,6 +60,12 @@ def test_path_cycles_and_dead_code(spark, make_nodes, make_edges):
     assert got(graph.call_paths(ids(spark, "a", "d"), e, 3).select(F.array_join("path", ">"))) == [("a>b>c>d",)]
 
 
+def test_many_cycles_below_each_other(spark):
+    pairs = [(f"{k:02d}{a}", f"{k:02d}{b}") for k in range(70) for a, b in ("xy", "yx")] + [(f"{j:02d}x", f"{k:02d}x") for k in range(70) for j in range(k)]
+    found = got(graph.cyclic_groups(spark.createDataFrame(pairs, "file string, depends_on string")))
+    assert found == sorted((f"{k:02d}{x}", f"{k:02d}x") for k in range(70) for x in "xy")
+
+
 def test_enclosing_is_the_innermost(spark, make_nodes):
     n = make_nodes({"id": "o", "start_line": 1, "end_line": 20}, {"id": "i", "start_line": 5, "end_line": 9}, {"id": "swapped", "start_line": 18, "end_line": 12}, {"id": "open", "start_line": 2, "end_line": None})
     p = spark.createDataFrame([("r/a.py", k) for k in (1, 6, 13, 30)] + [("other", 1), ("r/a.py", None)], "file_path string, line int")
