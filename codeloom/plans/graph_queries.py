@@ -276,6 +276,12 @@ def file_cycles(spark, d):
     return graph.cyclic_groups(deps)
 
 
+@query()
+def dependency_cycles(spark, d):
+    """file_cycles over links of every kind but contains; the pairs of its SQL would be too many for a twin."""
+    return graph.cyclic_groups(graph.file_dependencies(nodes(spark, d), edges(spark, d)))
+
+
 @query(f"""{W}, s as (select min(source) i from e where kind = 'calls'), a as (select * from e, s where source = i or target = i)
   select distinct case when source = i and kind = 'contains' then 'child' when kind = 'contains' then 'parent' when source = i and kind in ('type_of', 'returns') then 'type' when source = i then 'outgoing' else 'incoming' end as role,
     case when source = i then target else source end id, kind edge_kind from a union all select 'focal', i, '' from s""")

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codeloom.operators import aggregates, graph, resolve
+from codeloom.plans import graph_queries
 
 
 def got(df):
@@ -60,6 +61,35 @@ def test_path_cycles_and_dead_code(spark, make_nodes, make_edges):
     assert got(graph.call_paths(ids(spark, "a", "d"), e, 3).select(F.array_join("path", ">"))) == [("a>b>c>d",)]
 
 
+def strong_groups(pairs):
+    """{id: least id of its group} by plain search, groups of one left out."""
+    out = {}
+    for x, _ in pairs:
+        seen, todo = set(), [x]
+        while todo:
+            y = todo.pop()
+            for a, b in pairs:
+                if a == y and b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        out[x] = seen
+    groups = {x: min(y for y in seen if x in out.get(y, ())) for x, seen in out.items() if x in seen}
+    return {x: g for x, g in groups.items() if list(groups.values()).count(g) > 1}
+
+
+def test_dependency_cycles_take_every_kind(spark, make_nodes, make_edges, tmp_path):
+    rng = random.Random(11)
+    names = [f"n{k}" for k in range(24)]
+    make_nodes(*({"id": x, "file_path": f"r/f{k // 2:02d}.py"} for k, x in enumerate(names))).write.parquet(str(tmp_path / "nodes.parquet"))
+    links = [(rng.choice(names), rng.choice(names), rng.choice(["imports", "calls", "references", "contains", "extends"])) for _ in range(34)]
+    make_edges(*links).write.parquet(str(tmp_path / "edges.parquet"))
+    file = {x: f"r/f{k // 2:02d}.py" for k, x in enumerate(names)}
+    want = strong_groups({(file[a], file[b]) for a, b, kind in links if kind != "contains" and file[a] != file[b]})
+    typed = strong_groups({(file[a], file[b]) for a, b, kind in links if kind == "extends" and file[a] != file[b]})
+    assert len(want) > len(typed)
+    assert got(graph_queries.QUERIES["dependency_cycles"](spark, str(tmp_path))) == sorted(want.items())
+
+
 def test_many_cycles_below_each_other(spark):
     pairs = [(f"{k:02d}{a}", f"{k:02d}{b}") for k in range(70) for a, b in ("xy", "yx")] + [(f"{j:02d}x", f"{k:02d}x") for k in range(70) for j in range(k)]
     found = got(graph.cyclic_groups(spark.createDataFrame(pairs, "file string, depends_on string")))
