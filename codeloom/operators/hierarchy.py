@@ -28,7 +28,23 @@ def parents(ids: DataFrame, edges: DataFrame, kind: str = "contains") -> DataFra
     return links.join(up, "up").join(down, "child").groupBy("nid").agg(F.min_by("parent", "up").alias("parent"))
 
 
-def resolve(nodes: DataFrame, edges: DataFrame, kind: str = "contains", names: bool = False, ancestors: bool = False) -> DataFrame:
+def endless_lines(open_: DataFrame, up: DataFrame) -> DataFrame:
+    """(nid, line): for nodes whose chain never ends, the numbers from the last new one of the chain down to the node.
+
+    Each round appends the line of the node that the pointer leads to, without
+    what the own line holds. A line is whole when that line repeats something
+    or is whole itself, so it ends where the chain first comes back to a node.
+    """
+    state = materialise(open_.select("nid").join(up, "nid").select("nid", F.col("parent").alias("anc"), F.array("nid").alias("line"), F.lit(False).alias("whole")))
+    while not state.where("not whole").isEmpty():
+        far = state.select(F.col("nid").alias("anc"), F.col("anc").alias("anc2"), F.col("line").alias("line2"), F.col("whole").alias("whole2"))
+        new = F.array_except("line2", "line")
+        step = state.where("not whole").join(far, "anc").select("nid", F.col("anc2").alias("anc"), F.concat(new, "line").alias("line"), (F.col("whole2") | (F.size(new) < F.size("line2"))).alias("whole"))
+        state = materialise(state.where("whole").unionByName(step))
+    return state.select("nid", "line")
+
+
+def resolve(nodes: DataFrame, edges: DataFrame, kind: str = "contains", names: bool = False, ancestors: bool = False, endless: bool = False) -> DataFrame:
     """One row per id: node_id, root_id, depth and, if asked for, path (labels from the root) and ancestors (numbers).
 
     Each round joins every open pointer with the pointer it leads to, which
@@ -36,7 +52,8 @@ def resolve(nodes: DataFrame, edges: DataFrame, kind: str = "contains", names: b
     leave the loop. If a round closes none, no depth beyond it can exist, so
     all that are open lead into a cycle: root `cycle`, depth -1, null path.
     A self-link is a cycle. Null ids are left out; without edges every node is
-    its own root. Rounds: log2 of the greatest depth, plus two.
+    its own root. Rounds: log2 of the greatest depth, plus two. endless: with
+    ancestors, nodes that lead into a cycle have them as well (endless_lines).
     """
     ids = members(nodes)
     up = materialise(parents(ids, edges, kind))
@@ -65,9 +82,12 @@ def resolve(nodes: DataFrame, edges: DataFrame, kind: str = "contains", names: b
         state = materialise(step)
         parts.append(state.where("done"))
         open_ = state.where("not done")
+    lines = endless_lines(open_, up) if ancestors and endless else None
     for m in made:
         discard(m)
     whole = open_.select("nid", F.lit(None).cast("bigint").alias("anc"), F.lit(-1).alias("dist"), *(F.lit(None).cast(open_.schema[c].dataType).alias(c) for c in extra))
+    if lines is not None:
+        whole = whole.drop("line").join(lines, "nid")
     for p in parts:
         whole = whole.unionByName(p.drop("done"))
     roots = ids.select(F.col("nid").alias("anc"), F.col("key").alias("root"))
@@ -84,8 +104,15 @@ def resolve(nodes: DataFrame, edges: DataFrame, kind: str = "contains", names: b
     )
 
 
-def descendants(nodes: DataFrame, edges: DataFrame, kind: str = "contains") -> DataFrame:
-    """(node_id, descendant_id, distance) for every node below another; nodes on or below a cycle have none."""
-    full = materialise(resolve(nodes, edges, kind, ancestors=True).select("nid", "node_id", "depth", "line"))
-    pairs = full.where("depth > 0").select(F.col("node_id").alias("descendant_id"), "depth", F.posexplode(F.slice("line", F.lit(1), F.col("depth"))).alias("at", "nid"))
-    return pairs.join(full.select("nid", "node_id"), "nid").select("node_id", "descendant_id", (F.col("depth") - F.col("at")).cast("int").alias("distance"))
+def descendants(nodes: DataFrame, edges: DataFrame, kind: str = "contains", endless: bool = False) -> DataFrame:
+    """(node_id, descendant_id, distance) for every node below another; nodes on or below a cycle have none.
+
+    endless: they have them too. Every node is below all others that its chain
+    of parents meets before it first comes back to a node, at the distance of
+    the first meeting; so nodes of one cycle are below each other and none is
+    below itself.
+    """
+    full = materialise(resolve(nodes, edges, kind, ancestors=True, endless=endless).select("nid", "node_id", "line"))
+    far = F.size("line") - 1
+    pairs = full.where(F.size("line") > 1).select(F.col("node_id").alias("descendant_id"), far.alias("far"), F.posexplode(F.slice("line", F.lit(1), far)).alias("at", "nid"))
+    return pairs.join(full.select("nid", "node_id"), "nid").select("node_id", "descendant_id", (F.col("far") - F.col("at")).cast("int").alias("distance"))

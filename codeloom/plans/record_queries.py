@@ -36,7 +36,12 @@ def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(table(spark, d, "nodes"), table(spark, d, "edges"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p7_found, p7_paths, p7_descendants)}
+def p7_descendants_endless(spark: SparkSession, d: str) -> DataFrame:
+    """p7_descendants with the pairs on and below cycles, which its SQL leaves out."""
+    return hierarchy.descendants(table(spark, d, "nodes"), table(spark, d, "edges"), endless=True)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p7_found, p7_paths, p7_descendants, p7_descendants_endless)}
 
 _KEY = "lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))"
 _ENDS = f"""

@@ -99,6 +99,20 @@ def test_hierarchy(spark, make_nodes, make_edges):
     assert hierarchy.resolve(nodes, edges.limit(0)).where("depth = 0").count() == 9
 
 
+def test_descendants_on_and_below_cycles(spark, make_nodes, make_edges):
+    rng = random.Random(5)
+    up = {f"c{k}": f"c{(k + 1) % 5}" for k in range(5)} | {"s": "s", "t": "s", "x": "y", "y": "x"} | {f"m{k}": f"m{k - 1}" if k else "c2" for k in range(12)} | {f"k{k}": rng.choice(["x", "c4", "m3", "r", *(f"k{j}" for j in range(k))]) for k in range(25)}
+    want = []
+    for v in up:
+        line = [v]
+        while line[-1] in up and up[line[-1]] not in line:
+            line.append(up[line[-1]])
+        want += [(a, v, k) for k, a in enumerate(line) if k]
+    nodes, edges = make_nodes(*({"id": x} for x in ["r", *up])), make_edges(*((p, c, "contains") for c, p in up.items()))
+    assert rows(hierarchy.descendants(nodes, edges, endless=True)) == sorted(want)
+    assert rows(hierarchy.descendants(nodes, edges)) == sorted(x for x in want if ("r", x[1]) in {w[:2] for w in want})
+
+
 def test_long_chain_and_random_forest(spark, make_nodes, make_edges):
     rng = random.Random(3)
     up = {f"n{k}": f"n{k - 1}" for k in range(1, 70)} | {f"m{k}": f"m{rng.randrange(k)}" for k in range(1, 60)}
