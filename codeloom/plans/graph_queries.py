@@ -411,8 +411,8 @@ def rescore_bonus(spark, d):
 
 @query()
 def call_paths(spark, d):
-    n, e = load(spark, d, "kind", "file_path")
-    return graph.call_paths(n.where("kind = 'function'").groupBy("file_path").agg(F.min("id").alias("id")).select("id"), e, 2)
+    n, e = load(spark, d, "kind")
+    return graph.call_paths(n.where("kind = 'function'").select("id"), e)
 
 
 TASK = "Why does hashLedger in scanNode fail when the snapshot cache is stale?"

@@ -96,6 +96,18 @@ def test_many_cycles_below_each_other(spark):
     assert found == sorted((f"{k:02d}{x}", f"{k:02d}x") for k in range(70) for x in "xy")
 
 
+def test_call_paths_of_all_functions(spark, make_nodes, make_edges, tmp_path):
+    names = [f"f{k}" for k in range(8)]
+    make_nodes(*({"id": x} for x in names), {"id": "m", "kind": "method"}).write.parquet(str(tmp_path / "nodes.parquet"))
+    links = [(f"f{k}", f"f{k + 1}") for k in range(7)] + [("f3", "f1"), ("f2", "m"), ("m", "f6"), ("f5", "f5")]
+    make_edges(*((a, b, "calls") for a, b in links), ("f7", "f0", "imports")).write.parquet(str(tmp_path / "edges.parquet"))
+    walks, want = [[x] for x in names], []
+    for _ in range(6):
+        walks = [[*w, b] for w in walks for a, b in links if a == w[-1] and b not in w]
+        want += [tuple(w) for w in walks if w[-1] != "m"]
+    assert sorted(tuple(r.path) for r in graph_queries.QUERIES["call_paths"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_enclosing_is_the_innermost(spark, make_nodes):
     n = make_nodes({"id": "o", "start_line": 1, "end_line": 20}, {"id": "i", "start_line": 5, "end_line": 9}, {"id": "swapped", "start_line": 18, "end_line": 12}, {"id": "open", "start_line": 2, "end_line": None})
     p = spark.createDataFrame([("r/a.py", k) for k in (1, 6, 13, 30)] + [("other", 1), ("r/a.py", None)], "file_path string, line int")
