@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from codeloom.runtime import discard, materialise, shared_path
+
 
 def clean_path(c: Column | str) -> Column:
     """Single forward slashes, no leading `./`."""
@@ -27,13 +29,17 @@ def bucket_of(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def fingerprints(rows: DataFrame, keys: list[str], values: list[str], buckets: int) -> DataFrame:
-    """(bucket, n, added, mixed): count, additive hash and xor of a second hash of the rows of each bucket."""
+#: Size of a partition when a table is refreshed for the first time, and the most partitions.
+ROWS_A_BUCKET, MOST_BUCKETS = 2000, 4096
+
+
+def fingerprints(rows: DataFrame, keys: list[str], values: list[str], buckets: int, forced: Column | None = None) -> DataFrame:
+    """(bucket, buckets, n, added, mixed, forced): count, additive hash and xor of a second hash of the rows of each bucket, and whether one of them forces it."""
     h1, h2 = F.xxhash64(*keys, *values), F.xxhash64(F.lit("second"), *values, *keys)
     return (
-        rows.select(bucket_of(keys, buckets).alias("bucket"), h1.alias("h1"), h2.alias("h2"))
+        rows.select(bucket_of(keys, buckets).alias("bucket"), h1.alias("h1"), h2.alias("h2"), (F.lit(False) if forced is None else forced).alias("f"))
         .groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.sum(F.col("h1").cast("decimal(38,0)")).alias("added"), F.bit_xor("h2").alias("mixed"))
+        .agg(F.lit(buckets).alias("buckets"), F.count("*").alias("n"), F.sum(F.col("h1").cast("decimal(38,0)")).alias("added"), F.bit_xor("h2").alias("mixed"), F.max("f").alias("forced"))
     )
 
 
@@ -97,22 +103,48 @@ def stored_state(files: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def changed_paths(scan: DataFrame, files: DataFrame, runs: DataFrame, buckets: int = 4096) -> DataFrame:
+def changed_paths(scan: DataFrame, files: DataFrame, runs: DataFrame, target: str | None = None, buckets: int | None = None) -> DataFrame:
     """Paths the next run must take: present in the scan with other content than the last successful run stored, or never stored.
 
-    Buckets of equal fingerprints are dropped before rows are compared. A
-    null hash on either side never counts as unchanged. Empty tables: an
-    empty scan gives no rows, empty files or runs give every present path.
+    What that run left behind is kept as a table of partitions under
+    target/stored with a manifest of fingerprints; refresh() brings it up to
+    the log. The scan is cut into the same partitions, and those with another
+    fingerprint are compared with the stored partitions of that number, which
+    alone are read, and replaced in target/todo. Without a target both live in
+    the shared folder until the session ends. A null hash on either side never
+    counts as unchanged. Empty tables: an empty scan gives no rows, empty
+    files or runs give every present path.
     """
-    now, before = newest_scan(scan), stored_state(files, runs)
-    kept = before.join(now.select("path"), "path", "left_semi")  # files that are gone are no reason to look
-    hot = changed_buckets(fingerprints(now, ["path"], ["content_hash"], buckets), fingerprints(kept, ["path"], ["content_hash"], buckets))
-    unknown = now.where("content_hash is null").select(bucket_of(["path"], buckets).alias("bucket"))
-    hot = hot.unionByName(unknown).distinct()
-    look = now.withColumn("bucket", bucket_of(["path"], buckets)).join(hot, "bucket", "left_semi")
-    old = kept.select("path", F.col("content_hash").alias("stored"), F.lit(True).alias("known"))
-    same = F.coalesce(F.col("content_hash") == F.col("stored"), F.lit(False))
-    return look.join(old, "path", "left").where(F.col("known").isNull() | ~same).select("path")
+    from codeloom.sources.sinks import current
+
+    spark = scan.sparkSession
+    target = target or shared_path(spark, "index")
+    stored = f"{target}/stored"
+    refresh(spark, stored_state(files, runs), ["path"], ["content_hash"], stored, lambda rows: rows, buckets)
+    manifest = current(spark, f"{stored}/manifest")
+    count = manifest.agg(F.max("buckets")).first()[0] or buckets or 1
+
+    def compare(rows: DataFrame) -> DataFrame:
+        old = read_buckets(spark, stored, rows.select("bucket").distinct())
+        if old is None:
+            return rows.select("path", "bucket")
+        old = old.select("bucket", "path", F.col("content_hash").alias("stored"), F.lit(True).alias("known"))
+        same = F.coalesce(F.col("content_hash") == F.col("stored"), F.lit(False))
+        return rows.join(old, ["bucket", "path"], "left").where(F.col("known").isNull() | ~same).select("path", "bucket")
+
+    refresh(spark, newest_scan(scan), ["path"], ["content_hash"], f"{target}/todo", compare, count, manifest, F.col("content_hash").isNull())
+    out = read_buckets(spark, f"{target}/todo")
+    return out.select("path") if out is not None else spark.createDataFrame([], "path string")
+
+
+def read_buckets(spark: SparkSession, target: str, wanted: DataFrame | None = None) -> DataFrame | None:
+    """The data of a refreshed table, or of the wanted buckets only: files of others are not read. None without data."""
+    from codeloom.sources.sinks import folders
+
+    if not any(x.startswith("bucket=") for x in folders(spark, f"{target}/data")):
+        return None
+    data = spark.read.parquet(f"{target}/data")
+    return data if wanted is None else data.where(F.col("bucket").isin([r.bucket for r in wanted.collect()]))  # at most as many as there are buckets
 
 
 def refresh(
@@ -122,31 +154,54 @@ def refresh(
     values: list[str],
     target: str,
     compute: Callable[[DataFrame], DataFrame],
-    buckets: int = 4096,
+    buckets: int | None = None,
+    against: DataFrame | None = None,
+    always: Column | None = None,
 ) -> int:
     """Recompute the buckets of `rows` that changed since the last successful refresh of `target`; how many there were.
 
     `compute` maps rows (with their `bucket`) to output rows that keep
     `bucket`. Data is under target/data, partitioned by bucket; fingerprints
-    under target/manifest, replaced after the data. A failure in between
+    under target/manifest, published after the data. A failure in between
     leaves the old manifest, so the same buckets are replaced again: nothing
     is skipped and, as replacing is idempotent, nothing is doubled. Buckets
-    that no longer have rows are emptied.
+    that give no output any more are emptied. The manifest names the rows that
+    were computed: changed buckets are written once, and their fingerprints
+    are taken from that copy, whatever the source does meanwhile.
+
+    buckets: their number at the first refresh (one per ROWS_A_BUCKET rows, at
+    most MOST_BUCKETS, if not given); the manifest keeps it. against: compare
+    with these fingerprints instead of the target's own; the
+    target then holds the output of the changed buckets only. always: rows whose
+    bucket is taken whatever its fingerprint.
     """
-    from codeloom.sources.sinks import exists, swap_in
-
-    now = fingerprints(rows, keys, values, buckets)
-    if exists(spark, f"{target}/manifest"):
-        changed = changed_buckets(now, spark.read.parquet(f"{target}/manifest"))
-    else:
-        changed = now.select("bucket")
-    todo = [r.bucket for r in changed.collect()]  # at most `buckets` numbers, a parameter
-    if not todo:
+    from codeloom.sources.sinks import current, folders, publish, remove
+
+    mine = current(spark, f"{target}/manifest")
+    before = against if against is not None else mine
+    known = before.agg(F.max("buckets")).first()[0] if before is not None else None
+    buckets = known or buckets or min(MOST_BUCKETS, rows.count() // ROWS_A_BUCKET + 1)
+    rows = rows.withColumn("bucket", bucket_of(keys, buckets))
+    flag = F.coalesce(always, F.lit(False)) if always is not None else F.lit(False)
+    seen = fingerprints(rows, keys, values, buckets, flag)
+    hot = seen.where("forced").select("bucket")
+    changed = seen.select("bucket") if before is None else changed_buckets(seen, before).unionByName(hot).distinct()
+    todo = [r.bucket for r in changed.collect()]  # at most `buckets` numbers
+    if not todo and against is None:
+        if mine is None:
+            publish(spark, seen, f"{target}/manifest")
         return 0
-    picked = rows.withColumn("bucket", bucket_of(keys, buckets)).where(F.col("bucket").isin(todo))
-    compute(picked).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{target}/data")
-    alive = {r.bucket for r in now.select("bucket").collect()}
-    for b in set(todo) - alive:
-        swap_in(spark, None, f"{target}/data/bucket={b}")
-    swap_in(spark, now, f"{target}/manifest")
+    picked = materialise(rows.where(F.col("bucket").isin(todo)))
+    out = materialise(compute(picked))
+    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{target}/data")
+    filled = {r.bucket for r in out.select("bucket").distinct().collect()}
+    stale = set(todo) - filled if against is None else {int(x.split("=")[1]) for x in folders(spark, f"{target}/data") if x.startswith("bucket=")} - filled
+    for b in stale:
+        remove(spark, f"{target}/data/bucket={b}")
+    now = fingerprints(picked, keys, values, buckets, flag)
+    if mine is not None and against is None:
+        now = now.unionByName(mine.where(~F.col("bucket").isin(todo)))
+    publish(spark, now, f"{target}/manifest")
+    discard(picked)
+    discard(out)
     return len(todo)

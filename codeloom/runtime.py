@@ -95,6 +95,48 @@ def _clean() -> None:
             _delete(spark, path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder beside the tables of materialise(), deleted with them at the end."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/codeloom-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+#: Bits of a key filter, 4 MB: the filter of millions of keys still drops most rows, that of more passes them all.
+FILTER_BITS = 1 << 25
+
+
+def likely_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows whose key may be among the wanted keys, before they move anywhere; an exact join has to follow.
+
+    The filter is one bit per hash, built where the keys are and merged in
+    blocks of 4 KB: what is broadcast is at most bits / 8 bytes, whatever the
+    number of keys.
+    """
+    h = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    bit = wanted.where(wanted_key.isNotNull()).select(h(wanted_key).alias("h"))
+    blocks = bit.groupBy(F.bitmap_bucket_number("h").alias("_block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
+    at = rows.withColumn("_h", h(key)).withColumn("_block", F.bitmap_bucket_number("_h")).withColumn("_at", F.bitmap_bit_position("_h"))
+    byte = F.conv(F.hex(F.substr("_bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.getbit(byte, F.pmod(F.col("_at"), F.lit(8)).cast("int")) == 1
+    return at.join(F.broadcast(blocks), "_block").where(on).drop("_h", "_block", "_at", "_bits")
+
+
+def skewed_join(rows: DataFrame, side: DataFrame, key: str, weight: str, by: list[str], pieces: int = 1000) -> DataFrame:
+    """Inner join with a side of unique keys whose `weight` is the number of rows with that key, spread by those counts.
+
+    A key that holds more than 1 / pieces of all rows is cut into as many
+    parts as it has such shares; there are at most `pieces` keys like that, so
+    they are broadcast to salt the rows, by a hash of the columns `by` so that
+    a task that runs again puts each row where it was.
+    """
+    share = side.agg(F.greatest(F.ceil(F.sum(weight) / F.lit(pieces)), F.lit(1)).alias("_share"))  # one row
+    cut = side.crossJoin(F.broadcast(share)).withColumn("_parts", F.greatest(F.floor(F.col(weight) / F.col("_share")), F.lit(1)).cast("int")).drop("_share")
+    heavy = cut.where("_parts > 1").select(key, F.col("_parts").alias("_of"))
+    salted = rows.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("_of", F.lit(1))).cast("int")).drop("_of")
+    return salted.join(cut.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts"), [key, "_salt"]).drop("_salt")
+
+
 def id_key(c: Column | str) -> Column:
     """An id as it is compared: letter case and surrounding blanks do not count."""
     return F.lower(F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(BLANKS)))

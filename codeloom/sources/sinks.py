@@ -1,4 +1,4 @@
-"""Table sinks: atomic swaps, keyed upserts and cascading deletes."""
+"""Table sinks: versions published whole, keyed upserts and cascading deletes."""
 
 from __future__ import annotations
 
@@ -18,16 +18,39 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def swap_in(spark: SparkSession, df: DataFrame | None, path: str) -> None:
-    """Replace a table by a finished copy beside it; None removes it."""
+def remove(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
-    if df is None:
-        fs.delete(p, True)
-        return
-    fresh = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
     fs.delete(p, True)
-    fs.rename(_fs(spark, fresh)[1], p)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it is missing."""
+    fs, p = _fs(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete versions of a table, the oldest first."""
+    return sorted(n for n in folders(spark, path) if n.startswith("version-") and exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete version of a published table, None if there is none."""
+    found = _versions(spark, path)
+    return spark.read.parquet(f"{path}/{found[-1]}") if found else None
+
+
+def publish(spark: SparkSession, df: DataFrame, path: str, keep: int = 2) -> None:
+    """Write the next version of a table beside the last one; it counts once its success mark stands.
+
+    A reader always finds a whole version, and one that began before goes on
+    with the version before; older ones are removed.
+    """
+    found = _versions(spark, path)
+    number = int(found[-1].split("-")[1]) + 1 if found else 0
+    df.write.mode("overwrite").parquet(f"{path}/version-{number:012d}")  # an unfinished try of the same number is replaced
+    for old in found[: max(0, len(found) + 1 - keep)]:
+        remove(spark, f"{path}/{old}")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
