@@ -8,10 +8,11 @@ not exist form the current orphan report.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.runtime import packed_key
+from codeloom.runtime import likely_in, materialise, packed_key, skewed_join
+from codeloom.sources.sinks import current, publish
 
 _COUNTS = ("refs", "exists", "deletions")
 
@@ -58,28 +59,38 @@ def suspects(state: DataFrame) -> DataFrame:
     return state.where("refs > 0 and (exists <= 0 or first_seen > first_ref)")
 
 
-def find_orphans(nodes: DataFrame, edges: DataFrame, deletions: DataFrame, salts: int = 8) -> DataFrame:
+def find_orphans(nodes: DataFrame, edges: DataFrame, deletions: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """(edge_id, side, kind, recorded_at, key, state) of every end without a record at its time.
 
     state: `deleted` (not in nodes, in deletions), `missing` (in neither),
     `late` (the smallest updated_at in nodes is greater than recorded_at; a
     null time on either side is never late). Repeated rows count once. An
     empty edges table gives no rows; empty nodes make every end missing or
-    deleted. Extra columns are ignored.
+    deleted. Extra columns are ignored. The counts are folded from the tables
+    as one delta each, or are given as the kept `state` of earlier runs.
 
-    The ends meet only the suspects, under a salt: one missing id may hold a
-    third of all ends, and its rows then spread over `salts` tasks.
+    Only ends that a filter of the suspects lets through are moved. One
+    missing id may hold a third of them: the counts say into how many parts
+    each key is cut.
     """
-    state = fold(reference_deltas(edges), existence_deltas(nodes), deletion_deltas(deletions))
-    bad = suspects(state).select("key", "exists", "deletions", "first_seen", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    ends = edge_ends(edges).withColumn("salt", F.pmod(F.xxhash64("edge_id", "recorded_at"), F.lit(salts)).cast("int"))
-    found = ends.join(bad, ["key", "salt"]).withColumn(
+    if state is None:
+        state = fold(reference_deltas(edges), existence_deltas(nodes), deletion_deltas(deletions))
+    bad = materialise(suspects(state).select("key", "refs", "exists", "deletions", "first_seen"))
+    ends = likely_in(edge_ends(edges), F.col("key"), bad, F.col("key"))
+    found = skewed_join(ends, bad, "key", "refs", ["edge_id", "side", "recorded_at"]).withColumn(
         "state",
         F.when(F.col("exists") > 0, F.when(F.col("first_seen") > F.col("recorded_at"), F.lit("late"))).when(F.col("deletions") > 0, "deleted").otherwise("missing"),
     )
     return found.where("state is not null").select("edge_id", "side", "kind", "recorded_at", "key", "state")
 
 
+def next_state(spark: SparkSession, target: str, *deltas: DataFrame) -> DataFrame:
+    """Fold signed deltas of a period into the state kept at `target` and publish the result as its next version."""
+    kept = current(spark, target)
+    publish(spark, fold(*([kept] if kept is not None else []), *deltas).where("refs <> 0 or exists <> 0 or deletions <> 0"), target)
+    return current(spark, target)
+
+
 def orphan_report(found: DataFrame) -> DataFrame:
     """Distinct orphan ends per edge kind, month of recorded_at and state."""
     month = F.date_format(F.timestamp_millis(F.col("recorded_at")), "yyyy-MM")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import changed, hierarchy, orphans
-from codeloom.sources.sinks import exists
+from codeloom.sources import sinks
 from conftest import EDGE
 
 DEL = "id string, file_path string, deleted_at bigint"
@@ -76,7 +76,7 @@ def test_refresh_repeats_after_failure_and_skips_nothing(spark, tmp_path):
 
     with pytest.raises(RuntimeError):
         changed.refresh(spark, v1, ["k"], ["v"], target, failing, 8)
-    assert not exists(spark, f"{target}/manifest")
+    assert sinks.current(spark, f"{target}/manifest") is None
     assert changed.refresh(spark, v1, ["k"], ["v"], target, compute, 8) == 8
     assert changed.refresh(spark, v1, ["k"], ["v"], target, compute, 8) == 0
     v2 = v1.withColumn("v", F.when(F.col("k") == 7, "new").otherwise(F.col("v")))
@@ -125,3 +125,57 @@ def test_long_chain_and_random_forest(spark, make_nodes, make_edges):
             at, depth = up[at], depth + 1
         want.append((x, at, depth))
     assert rows(hierarchy.resolve(nodes, edges).select("node_id", "root_id", "depth")) == sorted(want)
+
+
+def test_refresh_empties_buckets_without_output(spark, tmp_path):
+    target = str(tmp_path / "t")
+    v1 = spark.createDataFrame([(k, "keep") for k in range(20)], "k int, v string")
+    compute = lambda df: df.where("v = 'keep'")
+    assert changed.refresh(spark, v1, ["k"], ["v"], target, compute, 4) == 4
+    assert changed.read_buckets(spark, target).count() == 20
+    assert changed.refresh(spark, v1.withColumn("v", F.lit("drop")), ["k"], ["v"], target, compute, 4) == 4
+    assert changed.read_buckets(spark, target) is None
+    assert changed.refresh(spark, v1.limit(0), ["k"], ["v"], target, compute, 4) == 4
+
+
+def test_changed_paths_reads_changed_partitions_only(spark, tmp_path):
+    runs = spark.createDataFrame([(1, "r", 10, 20, "ok")], RUNS)
+    files = spark.createDataFrame([(f"r/{k}", f"h{k}", 12) for k in range(200)], FILES)
+    scan = spark.createDataFrame([(f"r/{k}", "seen", "new" if k == 7 else f"h{k}") for k in range(200)], "path string, op string, content_hash string").withColumn("ts", F.lit("2025-01-01").cast("timestamp"))
+    target = str(tmp_path / "t")
+    assert rows(changed.changed_paths(scan, files, runs, target, 16)) == [("r/7",)]
+    hot = changed.read_buckets(spark, f"{target}/todo").select("bucket").distinct()
+    assert hot.count() == 1
+    old = changed.read_buckets(spark, f"{target}/stored", hot)
+    scanned = old.select(F.input_file_name()).distinct().count()
+    assert scanned == 1 < len(spark.read.parquet(f"{target}/stored/data").inputFiles())
+    # the next run has stored it: nothing is left to take, nor in the target
+    later = files.unionByName(spark.createDataFrame([("r/7", "new", 13)], FILES))
+    assert rows(changed.changed_paths(scan, later, runs, target, 16)) == []
+
+
+def test_published_tables_are_always_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert sinks.current(spark, path) is None
+    for k in range(4):
+        sinks.publish(spark, spark.range(k), path)
+        assert sinks.current(spark, path).count() == k
+    assert len(sinks.folders(spark, path)) == 2
+    sinks.remove(spark, f"{path}/version-000000000003/_SUCCESS")  # an unfinished version does not count
+    assert sinks.current(spark, path).count() == 2
+
+
+def test_orphan_state_is_kept(spark, tmp_path, make_nodes, make_edges):
+    path, n = str(tmp_path / "state"), make_nodes({"id": "a"}, {"id": "b"})
+    e = make_edges(*(("a", "gone" if k % 3 else "b", "calls") for k in range(300)))
+    orphans.next_state(spark, path, orphans.reference_deltas(e.where("id < 100")), orphans.existence_deltas(n))
+    state = orphans.next_state(spark, path, orphans.reference_deltas(e.where("id >= 100")))
+    got = orphans.find_orphans(n, e, spark.createDataFrame([], DEL), state)
+    assert got.count() == 200 and rows(got.select("state").distinct()) == [("missing",)]
+    undone = orphans.next_state(spark, path, orphans.reference_deltas(e.where("target = 'gone'"), -1))
+    assert orphans.suspects(undone).count() == 0
+
+
+def test_rejected_parents(spark, make_nodes, make_edges):
+    n, e = make_nodes({"id": "a"}, {"id": "b"}, {"id": "c"}), make_edges(("a", "c", "contains"), ("b", "c", "contains"), ("a", "b", "contains"))
+    assert rows(hierarchy.rejected_parents(n, e)) == [("c", "a", 1)]
