@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from codeloom.runtime import discard, materialise, packed_key, unpacked_key
 
 
-def members(nodes: DataFrame) -> DataFrame:
-    """(nid, key, label): a dense number and the newest qualified name of every id, written once so that numbers stay."""
-    newest = F.max_by(F.coalesce("qualified_name", "name"), F.struct("updated_at", "qualified_name", "name")).alias("label")
-    rows = nodes.select(packed_key("id").alias("key"), "qualified_name", "name", "updated_at").where("key is not null").groupBy("key").agg(newest)
-    return materialise(rows.withColumn("nid", F.monotonically_increasing_id()))
+def members(nodes: DataFrame, names: bool = False) -> DataFrame:
+    """(nid, key[, label]): a dense number and, if asked for, the newest qualified name of every id, written once so that numbers stay."""
+    rows = nodes.select(packed_key("id").alias("key"), *(["qualified_name", "name", "updated_at"] if names else [])).where("key is not null")
+    newest = F.max_by(F.coalesce("qualified_name", "name"), F.struct("updated_at", "qualified_name", "name")).alias("label") if names else None
+    one = rows.groupBy("key").agg(newest) if names else rows.distinct()
+    return materialise(one.withColumn("nid", F.monotonically_increasing_id()))
 
 
 def parents(ids: DataFrame, edges: DataFrame, kind: str = "contains") -> DataFrame:
-    """(nid, parent): one link per child between members; of several parents the smallest id wins."""
+    """(nid, parent, parent_key, more): one link per child between members; of several parents the smallest id wins, `more` counts the others."""
     links = (
         edges.where(F.lower(F.btrim("kind")) == kind)
         .select(packed_key("target").alias("child"), packed_key("source").alias("up"))
@@ -25,7 +26,14 @@ def parents(ids: DataFrame, edges: DataFrame, kind: str = "contains") -> DataFra
     )
     up = ids.select(F.col("key").alias("up"), F.col("nid").alias("parent"))
     down = ids.select(F.col("key").alias("child"), "nid")
-    return links.join(up, "up").join(down, "child").groupBy("nid").agg(F.min_by("parent", "up").alias("parent"))
+    return links.join(up, "up").join(down, "child").groupBy("nid").agg(F.min_by("parent", "up").alias("parent"), F.min("up").alias("parent_key"), (F.count("*") - 1).alias("more"))
+
+
+def rejected_parents(nodes: DataFrame, edges: DataFrame, kind: str = "contains") -> DataFrame:
+    """(node_id, parent_id, others): children with several parents, the one that the hierarchy follows and how many it does not."""
+    ids = members(nodes)
+    many = parents(ids, edges, kind).where("more > 0")
+    return many.join(ids, "nid").select(unpacked_key("key").alias("node_id"), unpacked_key("parent_key").alias("parent_id"), F.col("more").alias("others"))
 
 
 def endless_lines(open_: DataFrame, up: DataFrame) -> DataFrame:
@@ -49,18 +57,23 @@ def resolve(nodes: DataFrame, edges: DataFrame, kind: str = "contains", names: b
 
     Each round joins every open pointer with the pointer it leads to, which
     doubles its length, and joins the path pieces. Nodes that reach a root
-    leave the loop. If a round closes none, no depth beyond it can exist, so
+    leave the loop; only nodes with children are met again, and ids travel with
+    their pointers, so roots are not joined at the end. If a round closes none, no depth beyond it can exist, so
     all that are open lead into a cycle: root `cycle`, depth -1, null path.
     A self-link is a cycle. Null ids are left out; without edges every node is
     its own root. Rounds: log2 of the greatest depth, plus two. endless: with
     ancestors, nodes that lead into a cycle have them as well (endless_lines).
     """
-    ids = members(nodes)
+    ids = members(nodes, names)
     up = materialise(parents(ids, edges, kind))
     extra = (["path"] if names else []) + (["line"] if ancestors else [])
-    own = ids.join(up, "nid", "left").select(
+    inner = up.select(F.col("parent").alias("nid")).distinct().withColumn("inner", F.lit(True))
+    own = ids.join(up, "nid", "left").join(inner, "nid", "left").select(
         "nid",
+        "key",
+        F.coalesce("inner", F.lit(False)).alias("inner"),
         F.coalesce("parent", "nid").alias("anc"),
+        F.coalesce("parent_key", "key").alias("root"),
         F.when(F.col("parent").isNull(), 0).otherwise(1).alias("dist"),
         F.col("parent").isNull().alias("done"),
         *([F.array(F.coalesce("label", F.lit(""))).alias("path")] if names else []),
@@ -75,9 +88,9 @@ def resolve(nodes: DataFrame, edges: DataFrame, kind: str = "contains", names: b
         every = open_
         for p in parts:
             every = every.unionByName(p)
-        far = every.select(F.col("nid").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"), *(F.col(c).alias(f"{c}2") for c in extra))
+        far = every.where("inner").select(F.col("nid").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"), F.col("root").alias("root2"), *(F.col(c).alias(f"{c}2") for c in extra))
         step = open_.join(far, "anc").select(
-            "nid", F.col("anc2").alias("anc"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"), *(F.concat(f"{c}2", c).alias(c) for c in extra)
+            "nid", "key", "inner", F.col("root2").alias("root"), F.col("anc2").alias("anc"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"), *(F.concat(f"{c}2", c).alias(c) for c in extra)
         )
         state = materialise(step)
         parts.append(state.where("done"))
@@ -85,22 +98,17 @@ def resolve(nodes: DataFrame, edges: DataFrame, kind: str = "contains", names: b
     lines = endless_lines(open_, up) if ancestors and endless else None
     for m in made:
         discard(m)
-    whole = open_.select("nid", F.lit(None).cast("bigint").alias("anc"), F.lit(-1).alias("dist"), *(F.lit(None).cast(open_.schema[c].dataType).alias(c) for c in extra))
+    whole = open_.select("nid", "key", F.lit(None).cast("binary").alias("root"), F.lit(-1).alias("dist"), *(F.lit(None).cast(open_.schema[c].dataType).alias(c) for c in extra))
     if lines is not None:
         whole = whole.drop("line").join(lines, "nid")
     for p in parts:
-        whole = whole.unionByName(p.drop("done"))
-    roots = ids.select(F.col("nid").alias("anc"), F.col("key").alias("root"))
-    return (
-        whole.join(ids.select("nid", "key"), "nid")
-        .join(roots, "anc", "left")
-        .select(
-            F.col("nid"),
-            unpacked_key("key").alias("node_id"),
-            F.coalesce(unpacked_key("root"), F.lit("cycle")).alias("root_id"),
-            F.col("dist").cast("int").alias("depth"),
-            *extra,
-        )
+        whole = whole.unionByName(p.select(*whole.columns))
+    return whole.select(
+        F.col("nid"),
+        unpacked_key("key").alias("node_id"),
+        F.coalesce(unpacked_key("root"), F.lit("cycle")).alias("root_id"),
+        F.col("dist").cast("int").alias("depth"),
+        *extra,
     )
 
 
