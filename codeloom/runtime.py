@@ -102,24 +102,35 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: Bits of a key filter, 4 MB: the filter of millions of keys still drops most rows, that of more passes them all.
-FILTER_BITS = 1 << 25
+#: Bits of a key filter, 2 MB: the filter of millions of keys still drops most rows, that of more passes them all.
+FILTER_BITS = 1 << 24
 
 
-def likely_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows whose key may be among the wanted keys, before they move anywhere; an exact join has to follow.
+def marked(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = FILTER_BITS) -> DataFrame:
+    """rows with `_maybe`: false for keys that are certainly not among the wanted keys, found before any row moves.
 
     The filter is one bit per hash, built where the keys are and merged in
     blocks of 4 KB: what is broadcast is at most bits / 8 bytes, whatever the
-    number of keys.
+    number of keys. A null key is never wanted.
     """
     h = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     bit = wanted.where(wanted_key.isNotNull()).select(h(wanted_key).alias("h"))
     blocks = bit.groupBy(F.bitmap_bucket_number("h").alias("_block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
-    at = rows.withColumn("_h", h(key)).withColumn("_block", F.bitmap_bucket_number("_h")).withColumn("_at", F.bitmap_bit_position("_h"))
+    at = rows.withColumn("_h", F.when(key.isNotNull(), h(key))).withColumn("_block", F.bitmap_bucket_number("_h")).withColumn("_at", F.bitmap_bit_position("_h"))
     byte = F.conv(F.hex(F.substr("_bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     on = F.getbit(byte, F.pmod(F.col("_at"), F.lit(8)).cast("int")) == 1
-    return at.join(F.broadcast(blocks), "_block").where(on).drop("_h", "_block", "_at", "_bits")
+    return at.join(F.broadcast(blocks), "_block", "left").withColumn("_maybe", F.coalesce(on, F.lit(False))).drop("_h", "_block", "_at", "_bits")
+
+
+def likely_in(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """Rows whose key may be among the wanted keys; an exact join has to follow."""
+    return marked(rows, key, wanted, wanted_key).where("_maybe").drop("_maybe")
+
+
+def without_keys(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """rows whose key is not in `gone` (a table with that column): only rows that the filter cannot clear are moved to be compared."""
+    m = marked(rows, F.col(key), gone, gone[key])
+    return m.where("not _maybe").unionByName(m.where("_maybe").join(gone.select(key), key, "left_anti")).drop("_maybe")
 
 
 def skewed_join(rows: DataFrame, side: DataFrame, key: str, weight: str, by: list[str], pieces: int = 1000) -> DataFrame:
