@@ -8,11 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.runtime import materialise, spread
-
-#: Extension to language; fixed values.
-EXTENSIONS = {"py": "python", "pyi": "python", "js": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "mts": "typescript", "java": "java", "go": "go", "json": "json"}
-
+from codeloom.runtime import spread
 
 def newest_files(files: DataFrame) -> DataFrame:
     """(path, language, size) of the newest row by indexed_at of each path; ties take the greatest row. Null paths are left out."""
@@ -25,40 +21,33 @@ def file_texts(documents: DataFrame, *columns: str) -> DataFrame:
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from codeloom.llm.syntax import diagnose
+    from codeloom.llm.syntax import readings
 
     for b in batches:
-        rows = [(p, g, *diagnose(t, g)) for p, g, t in zip(b["path"], b["guess"], b["text"])]
-        yield pd.DataFrame(rows, columns=["path", "guess", "valid", "other"]).astype({"valid": "boolean"})
-
-
-_SCHEMA = "path string, guess string, valid boolean, other string"
+        rows = [(p, *readings(t), not t.strip()) for p, t in zip(b["path"], b["text"])]
+        yield pd.DataFrame(rows, columns=["path", "takes", "unsure", "blank"])
 
 
 def judge_files(documents: DataFrame, files: DataFrame) -> DataFrame:
     """(path, repo, language, valid, other): each file text against the grammar of its newest files row.
 
-    A text that its own grammar refuses is tried against all other grammars
-    in the order of its tokens; `other` is the first that takes it (a wrong
-    extension), null if none does (corruption). `valid` is null for languages
-    without grammar. Blank text is valid in all languages but JSON. Paths
-    without files row, text or path are left out; repeated rows of a path
-    count once (invalid wins).
-
-    Texts are judged where they are read, in the language of their extension;
-    only verdicts are shuffled. Files whose row names another language, which
-    the small table of verdicts shows, are judged again in that one.
+    Every text is parsed against all grammars where it is read, in the order
+    of its tokens, whatever its name; only the list of those that take it
+    meets the language. `other` is the likeliest that takes a text which its
+    own refuses (a wrong extension), null if none does (corruption). `valid`
+    is null for languages without grammar and where the parser met a limit of
+    its own. Blank text is valid in all languages but JSON and Go. Paths without
+    files row, text or path are left out; repeated rows of a path count once
+    (invalid wins).
     """
-    guess = F.create_map(*(x for k, v in EXTENSIONS.items() for x in (F.lit(k), F.lit(v))))
-    texts = file_texts(documents, F.coalesce(guess[F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))], F.lit("")).alias("guess"), "text")
-    verdicts = spread(texts).mapInPandas(_judge, _SCHEMA)
-    joined = materialise(verdicts.join(newest_files(files).select("path", "language"), "path"))
-    right, wrong = joined.where("guess <=> language"), joined.where("not guess <=> language")
-    if not wrong.isEmpty():
-        again = file_texts(documents, "text").join(wrong.select("path", F.coalesce("language", F.lit("")).alias("guess")).distinct(), "path")
-        redone = again.select("path", "guess", "text").mapInPandas(_judge, _SCHEMA).withColumn("language", F.col("guess"))
-        right = right.unionByName(redone)
-    out = right.groupBy("path", "language").agg(F.min("valid").alias("valid"), F.max("other").alias("other"))
+    from codeloom.llm.syntax import GRAMMARS
+
+    verdicts = spread(file_texts(documents, "text")).mapInPandas(_judge, "path string, takes array<string>, unsure array<string>, blank boolean")
+    rows = verdicts.join(newest_files(files).select("path", "language"), "path")
+    known = F.col("language").isin(*GRAMMARS)
+    valid = F.when(~known | F.array_contains("unsure", F.col("language")), None).otherwise(F.array_contains("takes", F.col("language")))
+    other = F.when(valid.eqNullSafe(False) & ~F.col("blank"), F.try_element_at("takes", F.lit(1)))
+    out = rows.select("path", "language", valid.alias("valid"), other.alias("other")).groupBy("path", "language").agg(F.min("valid").alias("valid"), F.max("other").alias("other"))
     return out.withColumn("repo", F.split_part("path", F.lit("/"), F.lit(1)))
 
 

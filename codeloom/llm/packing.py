@@ -29,23 +29,26 @@ def _encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_count(text: str, vocabulary: str = VOCABULARY) -> int:
-    """Tokens of a whole text. Texts over a megabyte are encoded in stretches that end at line breaks, where the split rule cuts as well."""
+def token_count(text: str, vocabulary: str = VOCABULARY, stretch: int = 1_000_000) -> int:
+    """Tokens of a whole text. Long texts are encoded in stretches that end with a visible piece of the split rule.
+
+    No token crosses a piece, and the rule looks behind no piece, so the sum
+    is that of the whole; a piece longer than a stretch is encoded whole.
+    """
     enc = _encoder(vocabulary)
-    if len(text) <= 1_000_000:
-        return len(enc.encode_ordinary(text.encode("utf-8", "replace").decode("utf-8")))
-    n, at = 0, 0
-    while at < len(text):
-        end = min(len(text), at + 1_000_000)
-        if end < len(text):
-            # before a line break that follows a visible character: no match of the split rule crosses it
-            k = text.rfind("\n", at + 1, end)
-            while k > at + 1 and text[k - 1].isspace():
-                k = text.rfind("\n", at + 1, k)
-            end = k if k > at + 1 else end
-        n += len(enc.encode_ordinary(text[at:end].encode("utf-8", "replace").decode("utf-8")))
-        at = end
-    return n
+    text = text.encode("utf-8", "replace").decode("utf-8")
+    if len(text) <= stretch:
+        return len(enc.encode_ordinary(text))
+    import regex
+
+    n, at, end = 0, 0, 0
+    for m in regex.finditer(_SPLIT, text):
+        if end - at >= stretch:
+            n += len(enc.encode_ordinary(text[at:end]))
+            at = end
+        if not m[0][-1].isspace():
+            end = m.end()
+    return n + len(enc.encode_ordinary(text[at:]))
 
 
 def token_sizes(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -67,8 +70,10 @@ def plan_runs(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int,
     ranks [first, first + n) go to the containers from `container` on, `per`
     to each. Then the gaps are updated; what is left opens new containers.
     Segment: (size, first, n, container, per). Gaps: size of gap to runs
-    (container, count). Sizes and gaps have at most capacity + 1 values, so
-    the work does not grow with the documents.
+    (container, count). A run holds all containers that were opened and filled
+    alike; each segment splits at most one run in three, so runs and segments
+    grow with the distinct sizes (at most the capacity) and not with the
+    documents.
     """
     gaps: dict[int, list[tuple[int, int]]] = {}
     order: list[int] = []

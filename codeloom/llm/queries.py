@@ -26,17 +26,22 @@ def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("repo", "language", F.coalesce("reason", F.lit("hand-written")).alias("reason")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_items(*(table(spark, d, t) for t in ("nodes", "files", "size_limits", "documents")), content=False)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    plan = splitting.plan_items(table(spark, d, "nodes"), table(spark, d, "files"), table(spark, d, "size_limits"))
-    return plan.where("pieces > 1").select("item_type", "item_key")
+    """Every item over its limit has a first piece."""
+    return _pieces(spark, d).where("piece = 0").select("item_type", "item_key")
 
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_items(*(table(spark, d, t) for t in ("nodes", "files", "size_limits", "documents"))).select("item_type", "item_key", "piece", "begin", "finish")
+    return _pieces(spark, d).select("item_type", "item_key", "piece", "begin", "finish")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return documented.documented_functions(table(spark, d, "nodes"), table(spark, d, "documents")).where("origin = 'recorded'").select("node_id")
+    """Functions with a comment attached by the join; the recorded docstring has to hold the same words."""
+    return documented.documented_functions(table(spark, d, "nodes"), table(spark, d, "documents")).where("origin = 'confirmed'").select("node_id")
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:

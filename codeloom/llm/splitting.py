@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.invalid_files import file_texts, newest_files
+from codeloom.runtime import likely_in, materialise
 
 _DEFINITION = re.compile(r"(?:export\s+|public\s+|private\s+|protected\s+|static\s+|async\s+|abstract\s+|final\s+)*(?:def|class|func|function|interface|type|enum|struct|const|var|let|record|@\w)\b|#{1,6} |/\*\*")
 
@@ -156,32 +157,47 @@ def split_bytes(text: str, capacity: int, overlap: int) -> list[tuple[int, int]]
     return out
 
 
-def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["item_type", "item_key", "piece", "begin", "finish", "content"]
-    for b in batches:
-        rows = []
-        for kind, key, first, units, cap, over, text in zip(b["item_type"], b["item_key"], b["first"], b["units"], b["capacity"], b["overlap"], b["text"]):
-            if kind == "node":
-                lines = (text or "").split("\n")[first - 1 : first - 1 + units] if text is not None and first >= 1 else [""] * int(units)
-                lines += [""] * (int(units) - len(lines)) if text is None else []
-                for k, (x, y) in enumerate(split_lines(lines, cap, over)):
-                    rows.append((kind, key, k, first + x, first + y - 1, "\n".join(lines[x:y]) if text is not None else None))
-            elif text is not None:
-                data = text.encode("utf-8", "surrogatepass")
-                for k, (x, y) in enumerate(split_bytes(text, cap, over)):
-                    rows.append((kind, key, k, x, y, data[x:y].decode("utf-8", "replace")))
-        yield pd.DataFrame(rows, columns=names)
-
-
-def split_items(nodes: DataFrame, files: DataFrame, limits: DataFrame, documents: DataFrame) -> DataFrame:
+def cut_item(kind: str, first: int, units: int, capacity: int, overlap: int, text: str | None, lines: list[str] | None, content: bool) -> Iterator[tuple]:
+    """(piece, begin, finish, content) of one item; `lines` are those of the text."""
+    if kind == "node":
+        own = (lines or [])[first - 1 : first - 1 + units] if first >= 1 else []
+        own = own + [""] * (units - len(own))  # a span beyond its text is cut by line numbers
+        for k, (x, y) in enumerate(split_lines(own, capacity, overlap)):
+            yield k, first + x, first + y - 1, "\n".join(own[x:y]) if content and lines is not None else None
+    elif text is None:
+        ends = [*balanced_cuts(units, capacity, overlap, []), units]
+        for k, e in enumerate(ends):
+            yield k, ends[k - 1] - overlap if k else 0, e, None
+    else:
+        data = text.encode("utf-8", "surrogatepass")
+        for k, (x, y) in enumerate(split_bytes(text, capacity, overlap)):
+            yield k, x, y, data[x:y].decode("utf-8", "replace") if content else None
+
+
+_ITEM = ("item_type", "item_key", "first", "units", "capacity", "overlap")
+
+
+def split_items(nodes: DataFrame, files: DataFrame, limits: DataFrame, documents: DataFrame, content: bool = True) -> DataFrame:
     """(item_type, item_key, piece, begin, finish, content): the pieces of every item over its limit.
 
-    Nodes: 1-based lines begin..finish; a node whose text is missing is cut by
-    line numbers alone, content null. Files: byte offsets, half open; files
-    without text give no piece. Only the texts of oversized items are used.
+    Nodes: 1-based lines begin..finish. Files: byte offsets, half open. Items
+    whose text is missing are cut by numbers alone, content null, as it is if
+    it is not asked for. Only texts of files with oversized items are moved,
+    once each, to the items of their file.
     """
-    big = plan_items(nodes, files, limits).where("pieces > 1")
-    texts = file_texts(documents, "text").dropDuplicates(["path"])
-    return big.join(texts, "path", "left").select("item_type", "item_key", "first", "units", "capacity", "overlap", "text").mapInPandas(
-        _split, "item_type string, item_key string, piece int, begin bigint, finish bigint, content string"
-    )
+    big = materialise(plan_items(nodes, files, limits).where("pieces > 1").select(*_ITEM, "path"))
+    per_file = big.where("path is not null").groupBy("path").agg(F.collect_list(F.struct(*_ITEM)).alias("i"))
+    texts = likely_in(file_texts(documents, "text"), F.col("path"), big, F.col("path")).groupBy("path").agg(F.max("text").alias("text"))
+    lost = big.where("path is null").select(F.lit(None).cast("string").alias("text"), *(F.array(c).alias(c) for c in _ITEM))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for text, *items in zip(b["text"], *(b[c] for c in _ITEM)):
+                lines = text.split("\n") if text is not None else None
+                for kind, key, first, units, capacity, overlap in zip(*items):
+                    rows += [(kind, key, *x) for x in cut_item(kind, int(first), int(units), int(capacity), int(overlap), text, lines, content)]
+            yield pd.DataFrame(rows, columns=["item_type", "item_key", "piece", "begin", "finish", "content"])
+
+    ready = per_file.join(texts, "path", "left").select("text", *(F.col(f"i.{c}").alias(c) for c in _ITEM)).unionByName(lost)
+    return ready.mapInPandas(split, "item_type string, item_key string, piece int, begin bigint, finish bigint, content string")

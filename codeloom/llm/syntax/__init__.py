@@ -1,3 +1,3 @@
-"""Grammar checks for source texts: valid(text, language) and the ranking of languages by tokens."""
+"""Grammars of the supported languages."""
 
-from codeloom.llm.syntax.judge import GRAMMARS, diagnose, rank, valid  # noqa: F401
+from codeloom.llm.syntax.judge import GRAMMARS, diagnose, rank, readings, valid  # noqa: F401

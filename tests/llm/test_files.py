@@ -42,9 +42,9 @@ def test_says_something():
 
 def test_comment_spans():
     py = "# above\n@dec\ndef f(a,\n      b):\n    '''Inner\n    text'''\n    return 1\n# lost\n\nx = 1\n"
-    assert documented.comment_spans(py, True) == [(3, "# above"), (3, "Inner\n    text")]
+    assert documented.comment_spans(py, True) == [(1, 3, "# above"), (2, 3, "Inner\n    text")]
     ts = "/**\n * Doc.\n */\n@Get()\nfunction f() {\n  // inside\n  g();\n}\n"
-    assert documented.comment_spans(ts, False) == [(5, "/**\n * Doc.\n */"), (7, "  // inside")]
+    assert documented.comment_spans(ts, False) == [(3, 5, "/**\n * Doc.\n */"), (6, 7, "  // inside")]
     assert documented.comment_spans("", True) == [] and documented.comment_spans("/* open", False) == []
 
 
@@ -54,6 +54,7 @@ def test_pairs(spark, make_nodes):
     n = make_nodes(
         {"id": "a", "start_line": 4, "end_line": 2}, {"id": "b", "start_line": 5, "end_line": 6, "docstring": "Frees all of its handles."}, {"id": "c", "start_line": 9, "end_line": 10},
         {"id": "old", "docstring": "Says much about all.", "updated_at": 1}, {"id": "old", "docstring": "TODO", "updated_at": 2}, {"id": "k", "kind": "class", "docstring": "Says much about all."},
+        {"id": "d", "start_line": 2, "end_line": 2, "docstring": "/** Reads it\n * twice. */"}, {"id": "e", "start_line": 2, "end_line": 2, "docstring": "Something else is said here."}, {"id": "t", "start_line": 2, "docstring": "TODO"}, {"id": "free", "file_path": None, "docstring": "Says much about all."},
         {"id": "x", "file_path": "nowhere", "docstring": "Says much about all.", "start_line": None, "end_line": None},
         file_path="r/a.js", language="javascript",
     )
@@ -62,9 +63,12 @@ def test_pairs(spark, make_nodes):
         "a": ("attached", "// Reads it twice.", "function a() {\n  x();\n}"),
         "b": ("recorded", "Frees all of its handles.", "function b() {\n}"),
         "x": ("recorded", "Says much about all.", None),
+        "d": ("confirmed", "// Reads it twice.", "function a() {"),
+        "e": ("recorded", "Something else is said here.", "function a() {"),
+        "free": ("recorded", "Says much about all.", None),
     }
     assert documented.pairs(n.limit(0), docs).count() == 0
-    assert documented.pairs(n, docs.limit(0)).count() == 2
+    assert documented.pairs(n, docs.limit(0)).count() == 5
 
 
 @settings(max_examples=200, deadline=None)
@@ -107,4 +111,8 @@ def test_splitting(spark, make_nodes):
     big = sorted((r.piece, r.begin, r.finish) for r in got if r.item_key == "big")
     assert big[0][1] == 200 and big[-1][2] == 300 and len(big) == 2
     assert {r.content is None for r in got if r.item_key == "lost"} == {True}
+    assert {(r.item_type, r.item_key) for r in got if r.piece == 0} == set(map(tuple, plan.collect()))
+    unread = splitting.split_items(n, files, limits, docs.limit(0)).collect()  # without texts by numbers alone
+    assert {(r.item_type, r.item_key) for r in unread if r.piece == 0} == {("file", "r/a.py"), ("node", "big"), ("node", "lost")} and all(r.content is None and r.finish - r.begin <= 5000 for r in unread)
+    assert splitting.split_items(n, files, limits, docs, content=False).where("content is not null").count() == 0
     assert b"".join(r.content.encode()[(100 if r.piece else 0) :] for r in sorted((r for r in got if r.item_type == "file"), key=lambda r: r.piece)).startswith(data[:4000])

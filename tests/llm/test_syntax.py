@@ -1,10 +1,14 @@
 """Grammar checks and the judging of files."""
 
+import json
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codeloom.llm import invalid_files
-from codeloom.llm.syntax import diagnose, rank, valid
+from codeloom.llm.syntax import diagnose, judge, rank, readings, valid
 
 GOOD = {
     "javascript": [
@@ -65,7 +69,41 @@ def test_other_grammars():
     assert diagnose("package a\n\nfunc F() {}\n", "javascript") == (False, "go")
     assert diagnose("%% ((", "go") == (False, None)
     assert rank("def f(self):\n    pass")[0] == "python"
-    assert valid("(" * 5000 + "1" + ")" * 5000, "javascript") in (True, False)
+
+
+def test_depth_is_no_fault():
+    assert valid("[" * 30_000 + "]" * 30_000, "json") is True
+    assert valid('{"a":' * 20_000 + "1" + "}" * 20_000, "json") is True
+    assert valid("[" * 30_000 + "]" * 29_999, "json") is False
+    assert valid("x = " + "(" * 6000 + "1" + ")" * 6000 + ";", "javascript") is True
+    assert valid("x = " + "(" * 6000 + "1 +" + ")" * 6000 + ";", "javascript") is False
+    assert valid("(" * 300 + "1" + ")" * 300, "python") is None  # the interpreter's own limit
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(alphabet='[]{}",:1-.e0tn \\u', max_size=12), st.recursive(st.none() | st.booleans() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=4), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=3), x, max_size=3), max_leaves=8).map(json.dumps)))
+def test_deep_json_equals_the_parser(text):
+    def takes(check):
+        try:
+            check(text)
+            return True
+        except ValueError:
+            return False
+
+    assert takes(judge.check_deep_json) == takes(judge.check_json)
+
+
+def test_faults_and_readings(monkeypatch):
+    assert readings("x = 1\n")[0][:1] != [] and set(readings("x = 1\n")[0]) == {"python", "javascript", "typescript"}
+    assert readings("%% ((") == ([], [])
+    assert set(readings("")[0]) == {"python", "javascript", "typescript", "java"}
+
+    def broken(text):
+        raise IndexError
+
+    monkeypatch.setitem(judge.GRAMMARS, "go", broken)
+    assert valid("package a", "go") is None
+    assert diagnose("package a", "go") == (None, None)
 
 
 DOC = "doc_id bigint, text string, source string, path string"

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -51,10 +52,16 @@ def test_pack(spark):
     assert counted[1] in (2, 3) and counted[2] == counted[3] == 0
 
 
-def test_long_texts_count_as_whole():
-    t = "word and more words\n\n  indented line, numbers 123\n" * 45000
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab1 \n\t.'é中", max_size=400), st.integers(1, 40))
+def test_long_texts_count_as_whole(text, stretch):
     enc = packing._encoder(packing.VOCABULARY)
-    assert packing.token_count(t) == len(enc.encode_ordinary(t))
+    assert packing.token_count(text, stretch=stretch) == len(enc.encode_ordinary(text))
+
+
+def test_a_long_line_counts_as_whole():
+    t = "word and more words, numbers 123  and " * 45000
+    assert packing.token_count(t) == len(packing._encoder(packing.VOCABULARY).encode_ordinary(t))
 
 
 def longest_in_order(item, doc):
@@ -88,7 +95,7 @@ def test_leaks(spark):
     ]
     got = sorted((r.doc_id, r.item_id) for r in leakage.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit(9)), items).collect())
     assert got == [(1, 0), (2, 1), (3, 2), (4, 3), (10, 6), (10, 7)]
-    index = leakage.SuffixIndex(own)
+    index = leakage.Items(own)
     plain = [(d, t) for d, t in docs if t and d not in (4, 10)]
     want = sorted((d, k) for d, t in plain for k, w in own.items() if longest_in_order(w, leakage.words(t)) >= 30)
     assert sorted(r[:2] for r in leakage.scan_shard(index, [d for d, _ in plain], [t for _, t in plain], 0.5, 80)) == want
@@ -97,17 +104,57 @@ def test_leaks(spark):
 
 def test_suffix_matches_equal_brute_force():
     rng = random.Random(2)
-    items = {k: [f"w{rng.randrange(6)}" for _ in range(40)] for k in range(3)}
-    index = leakage.SuffixIndex(items, common=3)
-    words = [f"w{rng.randrange(7)}" for _ in range(3000)]
-    import numpy as np
-
-    flat = np.array([index.vocabulary.get(w, 0) for w in words])
-    got = set(zip(*(x.tolist() for x in index.seeds(flat))))
-    want = {(p, k, q) for k, x in items.items() for q in range(37) for p in range(2997) if words[p : p + 4] == x[q : q + 4]}
+    items = leakage.Items({k: [f"w{rng.randrange(6)}" for _ in range(m)] for k, m in enumerate((40, 20, 10, 5, 2))})
+    flat = np.array([rng.randrange(7) for _ in range(3000)])
+    array = leakage.SuffixArray(flat)
+    text = lambda p: flat[p : next((k for k in range(p, len(flat)) if not flat[k]), len(flat))].tolist()
+    some = array.order[rng.sample(range(len(array.order)), 300)]
+    where = {p: k for k, p in enumerate(array.order)}
+    assert sorted(array.order) == np.flatnonzero(flat).tolist()
+    assert [text(p) for p in sorted(some, key=where.get)] == sorted(text(p) for p in some)
+    got = {(int(p), int(i), int(q)) for x in leakage.matches(array, items) for p, i, q in zip(*x)}
+    want = {(p, i, q) for i, x in enumerate(items.coded) for n in [leakage.least_run(len(x))] for q in range(len(x) - n + 1) for p in range(len(flat) - n + 1) if (flat[p : p + n] == x[q : q + n]).all()}
     assert got == want
 
 
+def found_leaks(spark, items, docs, **options):
+    make = lambda rows, name: spark.createDataFrame(sorted(rows.items()), f"{name} bigint, text string")
+    return sorted((r.doc_id, r.item_id) for r in leakage.find_leaks(make(docs, "doc_id"), make(items, "item_id"), **options).collect())
+
+
+def test_short_shared_and_blocked_items(spark):
+    rng = random.Random(9)
+    word = lambda: f"v{rng.randrange(4000)}"
+    noise = lambda n: " ".join(word() for _ in range(n))
+    short = {1: "alpha beta gamma", 2: "one two three four", 3: "solitary"}
+    assert found_leaks(spark, short, {k: f"{noise(50)} {t} {noise(50)}" for k, t in short.items()} | {9: noise(100)}) == [(1, 1), (2, 2), (3, 3)]
+    shared = [word() for _ in range(40)]
+    six = {k: " ".join([*(f"own{k}x{j}" for j in range(6)), *shared, f"end{k}"]) for k in range(6)}
+    changed = " ".join("other" if k % 6 == 5 else w for k, w in enumerate(shared))
+    assert found_leaks(spark, six, {7: f"{noise(30)} {changed} {noise(30)}"}) == [(7, k) for k in range(6)]
+    many = {k: " ".join(word() for _ in range(30)) for k in range(40)}
+    docs = {k: f"{noise(20)} {many[k]}" for k in range(0, 40, 3)}
+    whole = found_leaks(spark, many, docs)
+    assert whole == [(k, k) for k in range(0, 40, 3)] == found_leaks(spark, many, docs, block_words=100)
+
+
+def test_late_part_with_a_foreign_sentence_after_prose():
+    """A chain that takes in stray pairs of earlier words must not hide the passage."""
+    item = np.arange(1, 101)
+    prose = [x for k in range(20) for x in (*item[2 * k : 2 * k + 2].tolist(), *[0] * 20)]
+    window = np.array([*prose, *item[45:70].tolist(), *[0] * 60, *item[70:].tolist()])
+    words, begin, end, longest = leakage.passage(item, window)
+    assert 55 <= words < 70 and begin >= len(prose) - 100 and end == len(window) and longest == 30
+
+
+def test_leaked_documents_are_removed(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(50)] + [(None, "no id")], "doc_id bigint, text string").withColumn("_maybe2", F.lit(1))
+    found = spark.createDataFrame([(3, 1), (3, 2), (40, 1)], "doc_id bigint, item_id bigint")
+    left = leakage.without_leaked(docs, found)
+    assert left.columns == docs.columns and left.count() == 49 and left.where("doc_id in (3, 40)").count() == 0
+    assert leakage.without_leaked(docs, found.limit(0)).count() == 51
+
+
 CASES = {
     "Dr. Tavik and Ms. Orlen took approx. 5 kg vs. 3, i.e. more. See fig. 3 and no. 7 in a.js.": ["more.", "a.js."],
     'The note says: "Never do it. It will fail." We go.': ['fail."', "go."],
