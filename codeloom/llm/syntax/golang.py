@@ -533,5 +533,11 @@ _STATEMENTS = {
 }
 
 
+#: A file begins with its package clause; texts of other languages end here, before they are cut into tokens.
+_FIRST = re.compile(r"\ufeff*(?:\s+|//[^\n]*|/\*(?s:.*?)\*/)*+package\b")
+
+
 def check_go(text: str) -> None:
+    if not _FIRST.match(text):
+        raise Bad("beginning")
     Go(tokens(text)).unit()

@@ -793,5 +793,13 @@ _STATEMENTS = {
 }
 
 
+#: What a compilation unit can begin with; most texts of other languages end here, before they are cut into tokens.
+_FIRST = re.compile(
+    r"\ufeff*(?:\s+|//[^\n]*|/\*(?s:.*?)\*/)*+(?:package\b|import\s+(?:static\s+)?\w+(?:\s*\.\s*[\w*]+)*\s*;|(?:class|interface|enum|record|public|protected|private|static|final|abstract|strictfp|sealed|non-sealed|default|native|synchronized|transient|volatile)\b|[@;]|\Z)"
+)
+
+
 def check_java(text: str) -> None:
+    if not _FIRST.match(text):
+        raise Bad("beginning")
     Java(tokens(text)).unit()

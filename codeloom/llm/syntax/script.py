@@ -1089,9 +1089,29 @@ _STATEMENTS = {
 }
 
 
+#: Beginnings that no script has; most texts of other languages end here, before they are cut into tokens.
+_NOT_FIRST = re.compile(r"\ufeff*(?:\s+|//[^\n]*|/\*(?s:.*?)\*/)*+(?:package\s+\w|#(?!!)\s|\"\"\"|'''|from\s+[\w.]+\s+import\b|import\s+\w+(?:\.|\s+as\b)|def\s+\w)")
+_last: tuple[str, Tokens | Bad] = ("", Bad("none"))
+
+
+def _tokens_of(text: str) -> Tokens:
+    """Tokens of a text, or why it has none, kept for the other of the two languages."""
+    global _last
+    if _last[0] is not text:
+        try:
+            if _NOT_FIRST.match(text):
+                raise Bad("beginning")
+            _last = (text, tokens(text))
+        except Bad as e:
+            _last = (text, e)
+    if isinstance(_last[1], Bad):
+        raise _last[1].with_traceback(None)
+    return _last[1]
+
+
 def check_javascript(text: str) -> None:
-    Script(tokens(text), False).program()
+    Script(_tokens_of(text), False).program()
 
 
 def check_typescript(text: str) -> None:
-    Script(tokens(text), True).program()
+    Script(_tokens_of(text), True).program()
