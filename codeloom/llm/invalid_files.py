@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from codeloom.runtime import spread
 
 def newest_files(files: DataFrame) -> DataFrame:
-    """(path, language, size) of the newest row by indexed_at of each path; ties take the greatest row. Null paths are left out."""
-    rows = files.where("path is not null").groupBy("path").agg(F.max(F.struct("indexed_at", "language", "size")).alias("m"))
-    return rows.select("path", F.lower("m.language").alias("language"), F.col("m.size").alias("size"))
+    """(path, language, size, first_seen) of the newest row by indexed_at of each path, with the least time; ties take the greatest row. Null paths are left out."""
+    rows = files.where("path is not null").groupBy("path").agg(F.max(F.struct("indexed_at", "language", "size")).alias("m"), F.min("indexed_at").alias("first_seen"))
+    return rows.select("path", F.lower("m.language").alias("language"), F.col("m.size").alias("size"), "first_seen")
 
 
 def file_texts(documents: DataFrame, *columns: str) -> DataFrame:
