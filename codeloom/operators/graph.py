@@ -7,6 +7,9 @@ shared folder; no frontier goes to the driver.
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -117,21 +120,29 @@ def usages(starts: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(starts.select(F.col("id").alias("target")), "target", "left_semi")
 
 
+def membership(inside: DataFrame) -> DataFrame:
+    """(here, there): all members of each container through any depth, by doubling: rounds grow with the logarithm of the depth."""
+    pairs, n = materialise(inside.select("here", "there").distinct()), -1
+    while (m := pairs.count()) != n:
+        n = m
+        far = pairs.select(F.col("here").alias("there"), F.col("there").alias("far"))
+        pairs = materialise(pairs.unionByName(pairs.join(far, "there").select("here", F.col("far").alias("there"))).distinct())
+    return pairs
+
+
 def impact_radius(starts: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
     """(id, depth): what a change reaches. Members of containers cost nothing, other incoming edges one step.
 
-    0-1 search: each level is closed under membership before the next step.
+    0-1 search: the members of every container are known beforehand, so each
+    level is one step and one join.
     """
     boxes = nodes.where(F.col("kind").isin(CONTAINER_KINDS)).select(F.col("id").alias("here"))
-    inside = materialise(links(edges, "out", ["contains"]).join(boxes, "here", "left_semi"))
+    inside = membership(links(edges, "out", ["contains"]).join(boxes, "here", "left_semi"))
     into = materialise(edges.where("kind <> 'contains'").select(F.col("target").alias("here"), F.col("source").alias("there")).distinct())
     seen = None
-    frontier = starts.select("id").distinct()
+    frontier = starts.select("id")
     for depth in range(max_depth + 1):
-        if seen is not None:
-            frontier = frontier.join(seen.select("id"), "id", "left_anti")
-        closed = levels(frontier, inside)
-        new = closed.select("id").distinct()
+        new = frontier.unionByName(frontier.join(inside, frontier.id == inside.here).select(F.col("there").alias("id"))).distinct()
         if seen is not None:
             new = new.join(seen.select("id"), "id", "left_anti")
         new = materialise(new.withColumn("depth", F.lit(depth)))
@@ -147,8 +158,8 @@ def impact_report(reached: DataFrame, nodes: DataFrame) -> DataFrame:
     return reached.join(nodes.select("id", "file_path"), "id").groupBy("depth").agg(F.count("*").alias("nodes"), F.countDistinct("file_path").alias("files"))
 
 
-def shortest_path(start: str, end: str, edges: DataFrame, kinds: list[str] | None = None, max_depth: int = 64) -> DataFrame:
-    """(step, id) of a shortest path along outgoing edges, the least ids among equals; no rows if there is none."""
+def shortest_path(start: str, end: str, edges: DataFrame, kinds: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
+    """(step, id) of a shortest path along outgoing edges, the least ids among equals; no rows if there is none (of max_depth steps, if given)."""
     spark = edges.sparkSession
     first = spark.createDataFrame([(start,)], "id string")
     if start == end:
@@ -156,7 +167,7 @@ def shortest_path(start: str, end: str, edges: DataFrame, kinds: list[str] | Non
     steps = materialise(links(edges, "out", kinds))
     frontier, tables, depth = first.withColumn("prev", F.lit(None).cast("string")), [], 0
     seen = first
-    while depth < max_depth:
+    while max_depth is None or depth <= max_depth:
         frontier = materialise(frontier)
         tables.append(frontier)
         if frontier.isEmpty():
@@ -281,16 +292,35 @@ def call_paths(starts: DataFrame, edges: DataFrame, max_hops: int = 6) -> DataFr
     return found if found is not None else walk.select("path")
 
 
+def innermost(lines: list[int], firsts: list[int], lasts: list[int], ids: list[str]) -> list[str | None]:
+    """For each line the span around it that starts last, the least id of equal starts; lines and spans are swept once in order."""
+    order, heap, out, k = sorted(range(len(ids)), key=firsts.__getitem__), [], {}, 0
+    for line in sorted(set(lines)):
+        while k < len(order) and firsts[order[k]] <= line:
+            i = order[k]
+            heappush(heap, (-firsts[i], ids[i], lasts[i]))
+            k += 1
+        while heap and heap[0][2] < line:
+            heappop(heap)
+        out[line] = heap[0][1] if heap else None
+    return [out[x] for x in lines]
+
+
 def enclosing(points: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] = ("method", "function", "component")) -> DataFrame:
     """points (file_path, line, ...) with `enclosing`: the innermost node around the line, the one that starts last.
 
-    No range join: the spans of a file are one array, so a point meets one
-    row and looks through the spans of its own file only. A null line or a
-    file without spans gives null; of equal starts the least id wins.
+    No range join: the distinct lines and the spans of a file meet in one row
+    and are swept together once. A null line or a file without spans gives
+    null; of equal starts the least id wins.
     """
     spans = nodes.where(F.col("kind").isin(*kinds) & F.col("start_line").isNotNull() & F.col("end_line").isNotNull()).select("file_path", F.least("start_line", "end_line").alias("first"), F.greatest("start_line", "end_line").alias("last"), "id")
-    per_file = spans.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("first", "last", "id"))).alias("_spans"))
-    at = F.filter("_spans", lambda s: (s["first"] <= F.col("line")) & (s["last"] >= F.col("line")))
-    top = F.aggregate(at, F.lit(-1), lambda m, s: F.greatest(m, s["first"]))
-    best = F.array_min(F.transform(F.filter(at, lambda s: s["first"] == top), lambda s: s["id"]))
-    return points.join(per_file, "file_path", "left").withColumn("enclosing", best).drop("_spans")
+    per_file = spans.groupBy("file_path").agg(F.collect_list(F.struct("first", "last", "id")).alias("s"))
+    asked = points.where("file_path is not null and line is not null").select("file_path", F.col("line").cast("int").alias("line")).distinct().groupBy("file_path").agg(F.collect_list("line").alias("lines"))
+
+    def sweep(batches):
+        for b in batches:
+            rows = [(p, x, e) for p, lines, f, t, i in zip(b["file_path"], b["lines"], b["first"], b["last"], b["id"]) for x, e in zip(lines, innermost(list(lines), list(f), list(t), list(i))) if e is not None]
+            yield pd.DataFrame(rows, columns=["file_path", "line", "enclosing"])
+
+    found = asked.join(per_file, "file_path").select("file_path", "lines", "s.first", "s.last", "s.id").mapInPandas(sweep, "file_path string, line int, enclosing string")
+    return points.join(found, ["file_path", "line"], "left").select(*points.columns, "enclosing")

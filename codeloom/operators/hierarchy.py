@@ -57,8 +57,9 @@ def resolve(nodes: DataFrame, edges: DataFrame, kind: str = "contains", names: b
 
     Each round joins every open pointer with the pointer it leads to, which
     doubles its length, and joins the path pieces. Nodes that reach a root
-    leave the loop; only nodes with children are met again, and ids travel with
-    their pointers, so roots are not joined at the end. If a round closes none, no depth beyond it can exist, so
+    leave the loop. Only nodes with children take part, the others follow their
+    parent at the end; ids travel with their pointers, so that no node has to
+    be joined with its root. If a round closes none, no depth beyond it can exist, so
     all that are open lead into a cycle: root `cycle`, depth -1, null path.
     A self-link is a cycle. Null ids are left out; without edges every node is
     its own root. Rounds: log2 of the greatest depth, plus two. endless: with
@@ -79,7 +80,8 @@ def resolve(nodes: DataFrame, edges: DataFrame, kind: str = "contains", names: b
         *([F.array(F.coalesce("label", F.lit(""))).alias("path")] if names else []),
         *([F.array("nid").alias("line")] if ancestors else []),
     )
-    state = materialise(own)
+    own = materialise(own)
+    state = own.where("inner")
     parts, before = [state.where("done")], None
     open_ = state.where("not done")
     made = [up]
@@ -88,7 +90,7 @@ def resolve(nodes: DataFrame, edges: DataFrame, kind: str = "contains", names: b
         every = open_
         for p in parts:
             every = every.unionByName(p)
-        far = every.where("inner").select(F.col("nid").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"), F.col("root").alias("root2"), *(F.col(c).alias(f"{c}2") for c in extra))
+        far = every.select(F.col("nid").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"), F.col("root").alias("root2"), *(F.col(c).alias(f"{c}2") for c in extra))
         step = open_.join(far, "anc").select(
             "nid", "key", "inner", F.col("root2").alias("root"), F.col("anc2").alias("anc"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"), *(F.concat(f"{c}2", c).alias(c) for c in extra)
         )
@@ -103,6 +105,12 @@ def resolve(nodes: DataFrame, edges: DataFrame, kind: str = "contains", names: b
         whole = whole.drop("line").join(lines, "nid")
     for p in parts:
         whole = whole.unionByName(p.select(*whole.columns))
+    # nodes without children stand one step below their parent
+    leaves = own.where("not inner")
+    above = whole.select(F.col("nid").alias("anc"), F.col("root").alias("root2"), F.col("dist").alias("dist2"), *(F.col(c).alias(f"{c}2") for c in extra))
+    depth = F.when(F.col("dist2") >= 0, F.col("dist2") + 1).otherwise(-1)
+    below = leaves.where("not done").join(above, "anc").select("nid", "key", F.col("root2").alias("root"), depth.alias("dist"), *(F.concat(f"{c}2", c).alias(c) for c in extra))
+    whole = whole.unionByName(below).unionByName(leaves.where("done").select(*whole.columns))
     return whole.select(
         F.col("nid"),
         unpacked_key("key").alias("node_id"),

@@ -50,15 +50,16 @@ def resolve_live(refs: DataFrame, nodes: DataFrame) -> DataFrame:
         unfit = F.col("reference_kind").eqNullSafe("function_ref") & ~c["callable"]
         return F.struct(other.alias("a"), unfit.alias("b"), c["m"].alias("m"))
 
-    tiers = [(F.col("name"), F.col("reference_name"), 0.9), (F.col("qualified_name"), F.col("reference_name"), 0.95), (F.lower("name"), F.lower("reference_name"), 0.85)]
-    out, left = None, refs
-    for key, ref_key, confidence in tiers:
-        hit = left.withColumn("key", ref_key).join(leaders(key), "key")
-        best = F.array_min(F.transform("cands", order))
-        got = hit.select("ref_id", best.alias("b")).select("ref_id", F.col("b.m.id").alias("target"), F.col("b.m.kind").alias("target_kind"), F.lit(confidence).alias("confidence"))
+    # references that ask the same are one; every tier is tried and the first that answers is kept
+    keys = [F.coalesce("reference_name", F.lit("")).alias("asked"), F.coalesce("language", F.lit("")).alias("language"), F.col("reference_kind").eqNullSafe("function_ref").alias("fn")]
+    asked = refs.select(*keys).distinct().withColumn("reference_kind", F.when(F.col("fn"), "function_ref"))
+    out = None
+    for k, (key, ref_key, confidence) in enumerate([(F.col("name"), F.col("asked"), 0.9), (F.col("qualified_name"), F.col("asked"), 0.95), (F.lower("name"), F.lower("asked"), 0.85)]):
+        best = F.array_min(F.transform("cands", order)).alias("b")
+        got = asked.withColumn("key", ref_key).join(leaders(key), "key").select("asked", "language", "fn", F.struct(F.lit(k).alias("k"), F.lit(confidence).alias("confidence"), best).alias("m"))
         out = got if out is None else out.unionByName(got)
-        left = left.join(got.select("ref_id"), "ref_id", "left_anti")
-    return out
+    first = out.groupBy("asked", "language", "fn").agg(F.min("m").alias("m"))
+    return refs.select("ref_id", *keys).join(first, ["asked", "language", "fn"]).select("ref_id", F.col("m.b.m.id").alias("target"), F.col("m.b.m.kind").alias("target_kind"), F.col("m.confidence").alias("confidence"))
 
 
 def resolve_exact(refs: DataFrame, nodes: DataFrame, ceiling: int = AMBIGUITY_CEILING) -> DataFrame:
@@ -162,6 +163,15 @@ def created_edges(refs: DataFrame, resolved: DataFrame, nodes: DataFrame) -> Dat
     return e.select(F.col("from_node_id").alias("source"), "target", kind.alias("kind"), "line", "confidence").distinct()
 
 
+def type_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, target, kind): extends and implements edges between types; ends that are members stand for the type that contains them."""
+    types = nodes.where("kind in ('class', 'struct', 'interface')").select(F.col("id").alias("source"))
+    own = edges.where("kind = 'contains'").join(types, "source", "left_semi").groupBy(F.col("target").alias("member")).agg(F.min("source").alias("owner"))
+    a, b = own.select(F.col("member").alias("source"), F.col("owner").alias("o1")), own.select(F.col("member").alias("target"), F.col("owner").alias("o2"))
+    e = edges.where("kind in ('extends', 'implements')").select("source", "target", "kind").join(a, "source", "left").join(b, "target", "left")
+    return e.select(F.coalesce("o1", "source").alias("source"), F.coalesce("o2", "target").alias("target"), "kind").distinct()
+
+
 def override_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(source, target): a member of a type and the member of that name in what it extends or implements."""
     inside = edges.where("kind = 'contains'").join(nodes.where("kind = 'method'").select(F.col("id").alias("target"), "name"), "target").select(F.col("source").alias("owner"), F.col("target").alias("member"), "name").distinct()
@@ -211,40 +221,6 @@ def retryable(refs: DataFrame, ceiling: int = AMBIGUITY_CEILING) -> DataFrame:
     return failed.join(tails, "name_tail", "left_semi")
 
 
-_IMPORTS = {
-    "python": [(r"(?m)^from\s+([\w.]+)\s+import\s+([\w*]+)", 1, 2), (r"(?m)^import\s+([\w.]+)", 1, 1)],
-    "typescript": [(r"(?m)^import\s+(?:type\s+)?\{\s*(\w+)[^}]*\}\s*from\s*['\"]([^'\"]+)['\"]", 2, 1), (r"(?m)^import\s+(\w+)\s+from\s*['\"]([^'\"]+)['\"]", 2, 1)],
-    "javascript": [(r"(?m)^(?:const|let|var)\s+(\w+)\s*=\s*require\(\s*['\"]([^'\"]+)['\"]\s*\)", 2, 1), (r"(?m)^import\s+(\w+)\s+from\s*['\"]([^'\"]+)['\"]", 2, 1)],
-    "java": [(r"(?m)^import\s+(?:static\s+)?([\w.]+)\.(\w+|\*)\s*;", 1, 2)],
-    "go": [(r"(?m)^\s+(?:\w+\s+)?\"([\w./-]+)\"\s*$", 1, 1)],
-}
-
-
-def import_mappings(texts: DataFrame) -> DataFrame:
-    """(path, local_name, source) of the import lines of texts (path, language, text), by the language's patterns; read where the text is."""
-    out = []
-    for language, rules in _IMPORTS.items():
-        for pattern, src, local in rules:
-            a = F.regexp_extract_all("text", F.lit(pattern), src)
-            b = F.regexp_extract_all("text", F.lit(pattern), local)
-            out.append(F.when(F.col("language") == language, F.arrays_zip(a.alias("source"), b.alias("local_name"))))
-    pairs = F.flatten(F.array_compact(F.array(*out)))
-    return texts.select("path", F.explode(pairs).alias("m")).select("path", "m.local_name", "m.source").distinct()
-
-
-def resolve_imports(mappings: DataFrame, files: DataFrame, extensions: tuple[str, ...] = (".ts", ".tsx", ".d.ts", ".js", ".jsx", "/index.ts", "/index.js", ".py", "/__init__.py")) -> DataFrame:
-    """(path, source, target_path): relative imports probed with each extension in order; the first that is a file."""
-    rel = mappings.where("source like './%' or source like '../%'").select("path", "source").distinct()
-    base = scoring.directories(F.col("path"))
-    steps = F.split("source", "/")
-    ups = F.size(F.filter(steps, lambda s: s == ".."))
-    rest = F.filter(steps, lambda s: ~s.isin(".", ".."))
-    stem = F.array_join(F.concat(F.slice(base, F.lit(1), F.greatest(F.size(base) - ups, F.lit(0))), rest), "/")
-    tries = rel.select("path", "source", stem.alias("stem"), F.posexplode(F.array(*map(F.lit, ("", *extensions)))).alias("k", "ext")).withColumn("target_path", F.concat("stem", "ext"))
-    hit = tries.join(files.select(F.col("path").alias("target_path")).distinct(), "target_path")
-    return hit.groupBy("path", "source").agg(F.min_by("target_path", "k").alias("target_path"))
-
-
 def apply_aliases(imports: DataFrame, aliases: list[tuple[str, str]]) -> DataFrame:
     """imports with `resolved`: the first pattern with at most one `*` that fits leads to its replacement."""
     out = F.lit(None).cast("string")

@@ -158,44 +158,52 @@ def token_search(docs: DataFrame, key: str, column: str, query: str) -> DataFram
     return docs.where(matched > 0).select(key, score.alias("score"))
 
 
-def vector_search(vectors: DataFrame, key: str, column: str, queries: DataFrame, query_key: str, k: int = 10) -> DataFrame:
+def vector_search(vectors: DataFrame, key: str, column: str, queries: DataFrame, query_key: str, k: int = 10, block: int = 10_000) -> DataFrame:
     """(query_key, key, score): the k nearest of all vectors by cosine for each query vector; only positive similarities.
 
-    The queries are a stated set and go to every task in one array (their
-    number is checked); each task keeps the k best per query before the one
-    small shuffle, so no query meets its rows in one place.
+    The queries are a stated set and go to the tasks in blocks of about
+    `block`, one pass over the vectors for each; a task keeps the k best per
+    query before the one small shuffle, so no query meets its rows in one
+    place. Null vectors are no queries and are not found.
     """
-    qs = queries.select(F.col(query_key).alias("q"), F.col(column).alias("v")).collect()
-    if len(qs) > 10_000:
-        raise ValueError("run the queries in blocks of at most 10,000")
     import numpy as np
     import pandas as pd
 
-    names, dim = [r.q for r in qs], max((len(r.v) for r in qs), default=0)
-
-    def padded(rows) -> np.ndarray:
-        m = np.zeros((len(rows), dim))
-        for n, v in enumerate(rows):
-            m[n, : min(dim, len(v))] = v[:dim]
-        return m
-
+    queries = queries.where(F.col(column).isNotNull())
+    blocks = max(1, -(-queries.count() // block))
+    kinds = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
     unit = lambda m: np.divide(m, (s := np.sqrt((m * m).sum(1, keepdims=True))), out=np.zeros_like(m), where=s > 0)
-    q = unit(padded([r.v for r in qs]))
-
-    def scan(batches):
-        best: list = [([], []) for _ in names]
-        for b in batches:
-            scores, keys = unit(padded(b[column].tolist())) @ q.T, b[key].to_numpy()
-            for n in range(len(names)):
-                s = np.r_[best[n][1], scores[:, n]]
-                ids = np.r_[np.array(best[n][0], dtype=keys.dtype), keys]
-                keep = np.lexsort((ids, -s))[:k]
-                best[n] = (ids[keep], s[keep])
-        rows = [(names[n], i, float(s)) for n in range(len(names)) for i, s in zip(*best[n]) if s > 0]
-        yield pd.DataFrame(rows, columns=[query_key, key, "score"])
 
-    kinds = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
-    near = vectors.where(f"{column} is not null").select(key, column).mapInPandas(scan, kinds)
+    def scanner(names: list, given: list):
+        dim = max((len(v) for v in given), default=0)
+
+        def padded(rows) -> np.ndarray:
+            m = np.zeros((len(rows), dim))
+            for n, v in enumerate(rows):
+                m[n, : min(dim, len(v))] = v[:dim]
+            return m
+
+        q = unit(padded(given))
+
+        def scan(batches):
+            best: list = [([], []) for _ in names]
+            for b in batches:
+                scores, keys = unit(padded(b[column].tolist())) @ q.T, b[key].to_numpy()
+                for n in range(len(names)):
+                    s = np.r_[best[n][1], scores[:, n]]
+                    ids = np.r_[np.array(best[n][0], dtype=keys.dtype), keys]
+                    keep = np.lexsort((ids, -s))[:k]
+                    best[n] = (ids[keep], s[keep])
+            rows = [(names[n], i, float(s)) for n in range(len(names)) for i, s in zip(*best[n]) if s > 0]
+            yield pd.DataFrame(rows, columns=[query_key, key, "score"])
+
+        return scan
+
+    near = None
+    for at in range(blocks):
+        qs = queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == at).select(F.col(query_key).alias("q"), F.col(column).alias("v")).collect()
+        rows = vectors.where(f"{column} is not null").select(key, column).mapInPandas(scanner([r.q for r in qs], [r.v for r in qs]), kinds)
+        near = rows if near is None else near.unionByName(rows)
     w = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), key)
     return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
@@ -210,3 +218,29 @@ def fused(lexical: DataFrame, semantic: DataFrame, key: str, mode: str = "max",
     score = F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0)) if mode == "rrf" else F.greatest("a", "b")
     source = F.when(F.col("a").isNull(), "semantic").when(F.col("b").isNull(), "keyword").otherwise("both")
     return both.select(key, score.alias("score"), source.alias("source")).where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(k)
+
+
+def chunk_search(chunks: DataFrame, query: str, k: int = 20) -> DataFrame:
+    """(id, symbol_name, file_path, content, score): full text over chunks (id, symbol_name, file_path, content); the content comes back as it was stored."""
+    found = bm25(chunks, "id", {"symbol_name": 5.0, "content": 1.0}, query)
+    return chunks.select("id", "symbol_name", "file_path", "content").join(top(found, "id", k), "id").orderBy(F.desc("score"), "id")
+
+
+def search_tool(nodes: DataFrame, query: str, mode: str = "hybrid", limit: int = 5, semantic: DataFrame | None = None) -> DataFrame:
+    """(id, score, source): the exposed search, 1 to 20 results.
+
+    keyword: full text, substring or fuzzy names; semantic: the given scored
+    ids; hybrid: both merged by the greater score. Without vectors every mode
+    is by keyword.
+    """
+    from codeloom.plans.dsl import parse
+
+    k = max(1, min(20, limit))
+    if mode not in ("semantic", "keyword", "hybrid"):
+        raise ValueError(f"no mode {mode}")
+    words = search(nodes, parse(query), k).select("id", "score")
+    if semantic is None or mode == "keyword":
+        return words.withColumn("source", F.lit("keyword"))
+    if mode == "semantic":
+        return top(semantic, "id", k).withColumn("source", F.lit("semantic"))
+    return fused(words, semantic, "id", "max", k)

@@ -44,3 +44,5 @@ FILES = "f as (select path, arg_max(content_hash, indexed_at) content_hash, arg_
 TEXTS = "t as (select path, text from documents where source = 'file' and path is not null and text is not null)"
 W = f"with {N}, {E}"
 R = f"with recursive {N}, {E}"
+LIFT = """own as (select target id, min(source) o from e join n on n.id = source where e.kind = 'contains' and n.kind in ('class', 'struct', 'interface') group by 1),
+  lift as (select distinct coalesce(a.o, e.source) source, coalesce(b.o, e.target) target, e.kind from e left join own a on a.id = e.source left join own b on b.id = e.target where e.kind in ('extends', 'implements'))"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import scoring, text
 from codeloom.functions.constants import GENERATED_FILE, LOW_VALUE_PATH
-from codeloom.operators import aggregates, resolve
+from codeloom.operators import aggregates, imports
 from codeloom.plans.base import FILES, TEXTS, N, files, nodes, texts
 from codeloom.runtime import materialise, table
 from codeloom.sources import extract, scan
@@ -93,15 +93,10 @@ def import_sources(spark, d):
     return rows.groupBy("path", "source").agg(F.count("*").alias("times"))
 
 
-@query()
-def import_mappings(spark, d):
-    return resolve.import_mappings(texts(spark, d))
-
-
 @query()
 def resolved_imports(spark, d):
-    maps = materialise(resolve.import_mappings(texts(spark, d)))
-    return resolve.resolve_imports(maps, files(spark, d))
+    maps = materialise(imports.import_mappings(texts(spark, d)))
+    return imports.resolve_imports(maps, files(spark, d))
 
 
 @query()
@@ -138,16 +133,16 @@ def prose_terms(spark, d):
     return t.select("doc_id", F.array_join(text.prose_candidates("text"), " ").alias("terms"), F.array_join(text.query_symbols("text"), " ").alias("symbols"))
 
 
-@query("""with p as (select doc_id, '<html><head><title> Doc ' || doc_id || ' </title><script>var a = 1 < 2;</script></head><body><p>' || replace(replace(left(text, 200), '<', ' '), '&', ' ') || '</p></body></html>' html from documents where source = 'commit' and text is not null)
+@query("""with p as (select doc_id, '<html><head><title> Doc ' || doc_id || ' </title><script>var a = 1 < 2;</script></head><body><p>' || replace(replace(text, '<', ' '), '&', ' ') || '</p></body></html>' html from documents where text is not null)
   select doc_id, trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1)) title from p""")
 def html_title(spark, d):
-    t = table(spark, d, "documents").where("source = 'commit' and text is not null")
-    html = F.concat(F.lit("<html><head><title> Doc "), F.col("doc_id").cast("string"), F.lit(" </title><script>var a = 1 < 2;</script></head><body><p>"), F.translate(F.left("text", F.lit(200)), "<&", "  "), F.lit("</p></body></html>"))
+    t = table(spark, d, "documents").where("text is not null")
+    html = F.concat(F.lit("<html><head><title> Doc "), F.col("doc_id").cast("string"), F.lit(" </title><script>var a = 1 < 2;</script></head><body><p>"), F.translate("text", "<&", "  "), F.lit("</p></body></html>"))
     return t.select("doc_id", text.html_title(html).alias("title"))
 
 
 @query()
 def html_to_text(spark, d):
-    t = table(spark, d, "documents").where("source = 'commit' and text is not null")
+    t = table(spark, d, "documents").where("text is not null")
     html = F.concat(F.lit("<h1>Title</h1><p>"), F.translate("text", "<&", "  "), F.lit("</p><style>p {}</style>&lt;end&gt;"))
     return t.select("doc_id", text.html_to_text(html).alias("content"))

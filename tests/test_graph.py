@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codeloom.operators import aggregates, graph, resolve
+from codeloom.operators import aggregates, graph, imports, resolve
 from codeloom.plans import graph_queries
 
 
@@ -153,10 +153,10 @@ def test_synthesis(spark, make_nodes, make_edges):
 
 def test_imports_and_aliases(spark):
     t = spark.createDataFrame([("r/src/a.ts", "typescript", "import { x } from './b';\nimport y from '../lib/c'"), ("r/m.py", "python", "from os import path"), ("r/n.go", "go", None)], "path string, language string, text string")
-    m = resolve.import_mappings(t.where("text is not null"))
-    assert got(m) == [("r/m.py", "path", "os"), ("r/src/a.ts", "x", "./b"), ("r/src/a.ts", "y", "../lib/c")]
+    m = imports.import_mappings(t.where("text is not null"))
+    assert got(m.select("path", "local_name", "source")) == [("r/m.py", "path", "os"), ("r/src/a.ts", "x", "./b"), ("r/src/a.ts", "y", "../lib/c")]
     f = spark.createDataFrame([("r/src/b.ts",), ("r/lib/c/index.ts",), ("r/src/b.js",)], "path string")
-    assert got(resolve.resolve_imports(m, f)) == [("r/src/a.ts", "../lib/c", "r/lib/c/index.ts"), ("r/src/a.ts", "./b", "r/src/b.ts")]
+    assert got(imports.resolve_imports(m, f)) == [("r/src/a.ts", "../lib/c", "r/lib/c/index.ts"), ("r/src/a.ts", "./b", "r/src/b.ts")]
     a = resolve.apply_aliases(spark.createDataFrame([("@/x/y",), ("lib",), ("z",)], "source string"), [("@/*", "src/*"), ("lib", "packages/lib")])
     assert got(a) == [("@/x/y", "src/x/y"), ("lib", "packages/lib"), ("z", None)]
 
