@@ -213,39 +213,49 @@ def resolve_this_members(refs: DataFrame, nodes: DataFrame, supers: DataFrame) -
     return methods_on_types(asked.join(at, "from_node_id").where("type <> ''"), nodes, supers).withColumns({"confidence": F.lit(0.85), "rule": F.lit("this-member")})
 
 
-def enclosing_callables(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """(id, container): the nearest function or method around each node; nodes without one are missing. Walks up at most `most` contains links."""
-    up = materialise(edges.where("kind = 'contains'").groupBy(F.col("target").alias("at")).agg(F.min("source").alias("up")))
-    kinds = nodes.select(F.col("id").alias("up"), F.col("kind").isin("function", "method").alias("hit"))
-    step = materialise(up.join(kinds, "up"))
-    front = nodes.select("id", F.col("id").alias("at"))
-    out = None
-    for _ in range(most):
-        front = materialise(front.join(step, "at").select("id", F.col("up").alias("at"), "hit"))
-        if front.isEmpty():
-            break
-        found = front.where("hit").select("id", F.col("at").alias("container"))
-        out = found if out is None else out.unionByName(found)
-        front = front.where("not hit").select("id", "at")
-    return out if out is not None else nodes.select("id", F.col("id").alias("container")).limit(0)
+def enclosing_callables(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, container): the nearest function or method around each node; nodes without one, or on a cycle without one, are missing.
 
-
-def lexically_reachable(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+    Pointer doubling: a pointer that has not met a callable takes over the
+    pointer it leads to; one that leads to a root ends. A round that settles
+    none leaves cycles only.
+    """
+    up = edges.where("kind = 'contains'").groupBy(F.col("target").alias("id")).agg(F.min("source").alias("at"))
+    kinds = nodes.select(F.col("id").alias("at"), F.col("kind").isin("function", "method").alias("hit"))
+    state = materialise(up.join(kinds, "at").select("id", "at", "hit"))
+    found, before = [state.where("hit")], None
+    open_ = state.where("not hit")
+    while (left := open_.count()) and left != before:
+        before = left
+        every = open_
+        for f in found:
+            every = every.unionByName(f)
+        far = every.select(F.col("id").alias("at"), F.col("at").alias("at2"), F.col("hit").alias("hit2"))
+        state = materialise(open_.join(far, "at").select("id", F.col("at2").alias("at"), F.col("hit2").alias("hit")))
+        found.append(state.where("hit"))
+        open_ = state.where("not hit")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select("id", F.col("at").alias("container"))
+
+
+def lexically_reachable(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """pairs (source, target, ...) whose target is visible from the source.
 
     A function inside another function or method is visible in it alone: the
     source is that container or lies in it. Targets of other kinds and at the
     top are always visible.
     """
-    around = materialise(enclosing_callables(nodes, edges, most))
+    around = materialise(enclosing_callables(nodes, edges))
     nested = around.join(nodes.where("kind = 'function'").select("id"), "id", "left_semi").select(F.col("id").alias("target"), "container")
     held = materialise(pairs.join(nested, "target"))
     free = pairs.join(nested.select("target"), "target", "left_anti")
     front = held.select("source", F.col("source").alias("at")).distinct()
     inside = front
     up = around.select(F.col("id").alias("at"), "container")
-    for _ in range(most):
-        front = materialise(front.join(up, "at").select("source", F.col("container").alias("at")))
+    while True:  # one round per level of nested callables
+        front = materialise(front.join(up, "at").select("source", F.col("container").alias("at")).join(inside, ["source", "at"], "left_anti"))
         if front.isEmpty():
             break
         inside = inside.unionByName(front)

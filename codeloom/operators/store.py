@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators.resolve import retargeted
+from codeloom.runtime import materialise
 from codeloom.sources import sinks
+from codeloom.sources.extract import extract
 
 SCHEMA_VERSION = 8
 
@@ -45,3 +47,22 @@ def pending_migrations(applied: list[int], known: list[int]) -> list[int]:
 def upgraded(table: DataFrame, columns: dict[str, str]) -> DataFrame:
     """A table with every column of a newer schema, new ones null; to apply it twice changes nothing."""
     return table.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in table.columns})
+
+
+def index_files(texts: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFrame, at: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables after one file or a list of them (path, language, text) was indexed again at a time.
+
+    Texts whose hash is stored already are not extracted. Columns that an
+    extractor does not know are null.
+    """
+    hashed = texts.where("path is not null and text is not null").withColumn("content_hash", F.sha2("text", 256))
+    fresh = materialise(hashed.join(files.select("path", "content_hash"), ["path", "content_hash"], "left_anti").dropDuplicates(["path"]))
+    rows = materialise(extract(fresh))
+    kinds = {f.name: f.dataType for f in nodes.schema}
+    found = rows.where("tag = 'node'").withColumn("updated_at", F.lit(at))
+    new_nodes = found.select(*((F.col(c) if c in found.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+    new_edges = rows.where("tag = 'edge'").select("source", "target", "kind", "line", F.lit(None).cast("int").alias("col"))
+    counts = found.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("node_count"))
+    stored = fresh.join(counts, "path", "left").withColumns({"size": F.octet_length("text"), "indexed_at": F.lit(at)})
+    new_files = stored.select(*((F.col(f.name) if f.name in stored.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in files.schema))
+    return apply_batch(nodes, edges, files, new_nodes, new_edges, new_files)

@@ -81,7 +81,29 @@ def search_fallback(spark, d):
     return search.search(nodes(spark, d), dsl.parse("hashLedgr kind:function"), 20)
 
 
-@query()
+_WEIGHTED = {"name": 20.0, "qualified_name": 5.0, "docstring": 1.0, "signature": 2.0}
+
+
+def _node_bm25_sql(terms: list[str]) -> str:
+    cut = ", ".join(f"list_filter(string_split_regex(lower(coalesce({c}, '')), '[^a-z0-9_]+'), lambda x: x <> '') t{i}" for i, c in enumerate(_WEIGHTED))
+    tf = ", ".join(" + ".join(f"{w} * len(list_filter(t{i}, lambda x: starts_with(x, '{t}')))" for i, w in enumerate(_WEIGHTED.values())) + f" tf{k}" for k, t in enumerate(terms))
+    df = ", ".join(f"count(*) filter (tf{k} > 0) df{k}" for k in range(len(terms)))
+    part = " + ".join(f"greatest(1e-6, ln((c - df{k} + 0.5) / (df{k} + 0.5))) * tf{k} * 2.2 / (tf{k} + 1.2 * (0.25 + 0.75 * dl / al))" for k in range(len(terms)))
+    return f"""with {N}, tk as (select id, {cut} from n), tf as (select id, len(t0) + len(t1) + len(t2) + len(t3) dl, {tf} from tk), st as (select count(*) c, avg(dl) al, {df} from tf)
+      select id, round({part}, 6)::double score from tf, st where {' or '.join(f'tf{k} > 0' for k in range(len(terms)))} order by score desc, id limit 50"""
+
+
+@query(_node_bm25_sql(["scan", "ledger"]))
+def node_bm25(spark, d):
+    scored = search.bm25(nodes(spark, d), "id", _WEIGHTED, "scan ledger").withColumn("score", F.round("score", 6))
+    return search.top(scored, "id", 50)
+
+
+@query(f"""with {N}, h as (select id, name, kind, file_path, lower(name) k from n where lower(name) in ('scanledger', 'hashnode', 'log')),
+  few as (select k from h group by 1 having count(distinct file_path) < 10), rare as (select distinct file_path, k other from h where k in (from few)),
+  mates as (select distinct h.id from h join rare using (file_path) where h.k <> other),
+  s as (select id, name, kind, file_path, case kind when 'function' then 10 when 'method' then 10 when 'class' then 8 when 'interface' then 8 when 'struct' then 8 when 'constant' then 5 when 'field' then 5 when 'namespace' then 4 when 'module' then 4 else 3 end + case when id in (from mates) then 20 else 0 end score, k from h)
+  select id, name, kind, file_path, score from (select *, row_number() over (partition by k order by score desc, id) r from s) where r <= 8""")
 def exact_name_colocated(spark, d):
     return search.exact_names(nodes(spark, d), ["scanLedger", "hashNode", "log"], 20)
 

