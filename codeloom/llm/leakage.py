@@ -284,7 +284,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, gap:
 
 def without_leaked(documents: DataFrame, found: DataFrame) -> DataFrame:
     """The documents that give nothing away: the affected ones are removed whole."""
-    return without_keys(documents, "doc_id", found.select("doc_id").distinct())
+    return without_keys(documents, "doc_id", materialise(found.select("doc_id").distinct()))
 
 
 def scan_shard(items: Items, doc_ids: list, texts: list[str], share: float, gap: int) -> list[tuple]:

@@ -73,11 +73,17 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return items.join(per, "item_id", "left").groupBy("suite", "split").agg(F.count("*").alias("items"), F.count("documents").alias("leaked"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"))
 
 
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that are left for training: affected ones are removed."""
+    docs = table(spark, d, "documents")
+    return leakage.without_leaked(docs, leakage.find_leaks(docs, table(spark, d, "eval_items"))).select("doc_id")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents").where("not source <=> 'file'")).select("doc_id", "end_offset")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p5_found, p5_pieces, p6_found, p6_pairs, p8_pack, p8_fill, p9_found, p9_report, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p5_found, p5_pieces, p6_found, p6_pairs, p8_pack, p8_fill, p9_found, p9_report, p9_kept, p10_found)}
 
 SQL = {
     "p5_found": """

@@ -74,9 +74,20 @@ _RULE = re.compile(r"\s*(?:[-=*_]\s*){3,}$")
 _FENCE = re.compile(r"\s*(```+|~~~+)")
 
 
+def _indent(line: str) -> int:
+    wide = line.expandtabs(4)
+    return len(wide) - len(wide.lstrip())
+
+
 def blocks(text: str):
-    """(begin, end, whole): paragraphs, and headings, list items and fenced lines, which are whole units."""
+    """(begin, end, whole): paragraphs, and headings, list items and fenced lines, which are whole units.
+
+    Open list levels are a stack of (indentation, number), number 0 for a
+    bullet: an item goes on at any open level, closing those below it, or
+    opens a deeper one at 1.
+    """
     at, begin, kind, number, fence = 0, None, "", 0, None
+    levels: list[tuple[int, int]] = []
     for line in text.splitlines(keepends=True):
         bare = line.strip()
         here, at = at, at + len(line)
@@ -110,9 +121,10 @@ def blocks(text: str):
         m = _ITEM.match(line)
         if m and begin is not None and m[1]:
             # inside a paragraph only a list that starts at 1 after a finished sentence; inside a list only the next number
-            n = int(m[1])
+            n, deep = int(m[1]), _indent(line)
             if kind == "item":
-                if number and n != number + 1:
+                goes_on = any(i == deep and (k == 0 or n == k + 1 or n == k == 1) for i, k in levels)
+                if number and n != number + 1 and not goes_on and not (n == 1 and deep > levels[-1][0]):
                     m = None
             elif n != 1 or text[:here].rstrip()[-1:] not in _STOPS + ":：":
                 m = None
@@ -120,9 +132,13 @@ def blocks(text: str):
             if begin is not None:
                 yield begin, here, kind == "item"
             begin, kind, number = here, "item", int(m[1] or 0)
+            deep = _indent(line)
+            while levels and levels[-1][0] >= deep:
+                levels.pop()
+            levels.append((deep, number))
             continue
         if begin is None:
-            begin, kind = here, "text"
+            begin, kind, levels = here, "text", []
     if begin is not None:
         yield begin, len(text), kind == "item"
 

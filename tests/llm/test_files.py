@@ -32,6 +32,24 @@ def test_file_classes(spark):
     assert handwritten.classify_files(docs.limit(0), files).count() == 0
 
 
+def test_copies_keep_their_original(spark):
+    body = "x" * 50
+    rows = spark.createDataFrame(
+        [("a/f", "a", False, 5, b"1", 50), ("b/f", "b", False, 3, b"1", 50), ("c/f", "c", False, 9, b"1", 50), ("a/g", "a", False, 1, b"2", 50), ("a/h", "a", False, 1, b"2", 50), ("a/v", "a", True, 9, b"3", 50), ("b/w", "b", False, 1, b"3", 50), ("a/s", "a", False, 1, b"4", 9), ("b/s", "b", False, 1, b"4", 9)]
+        + [(f"r{k % 7}/m{k}", f"r{k % 7}", False, k, b"5", 50) for k in range(3000)],
+        "path string, repo string, stamp boolean, first_seen bigint, body binary, body_chars bigint",
+    )
+    got = {r.path for r in handwritten.copied_paths(rows).collect()}
+    assert {p for p in got if "/m" not in p} == {"a/f", "c/f", "a/v", "b/w"}
+    assert len([p for p in got if "/m" in p]) == 2999 and "r0/m0" not in got and body
+
+
+def test_layout_limits_by_language():
+    longest, mean, blanks, alnum, numbers, digits, encoded = handwritten.layout("a = 1;\n" * 10)[2:9]
+    assert (longest, round(mean, 1)) == (6, 6.4) and alnum == 0.5 and numbers == 0 and 0.2 < digits < 0.3 and encoded == 0
+    assert len({tuple(v) for v in handwritten.PROFILES.values()}) == len(handwritten.PROFILES)
+
+
 def test_says_something():
     no = [None, "", " \n ", "/**\n *\n */", "// ----", "TODO", "TODO: document this", "FIXME", "@param a\n@returns", ":param x:\n:return:", "{@inheritDoc}", "noqa", "pragma: no cover", "eslint-disable-next-line", "Description goes here.", "Beschreibung fehlt", "нет описания", "待补充", "...", "Auto-generated method stub",
           "Stores the eager segment", "Store eager segment.", "The storeEagerSegment method.", "storeEagerSegment()", "/** Stores segments. storeEagerSegment. */"]

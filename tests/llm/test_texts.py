@@ -162,6 +162,10 @@ CASES = {
     "The adapter waits... then it goes. rank_it runs.": ["goes.", "runs."],
     "(The lattice drains.) (The other\ndrains.)": ["drains.)", "drains.)"],
     "## Head line\nText goes on\nhere\n\n- item one. Two.\n- item two\n\n1. a\n2. b": ["line", "here", "Two.", "two", "1. a", "2. b"],
+    "1. a\n   1. b\n   2. c\n2. d\n   goes on\n3. e": ["1. a", "1. b", "2. c", "goes on", "e"],
+    "- a\n  1. b\n  2. c\n- d": ["- a", "b", "c", "d"],
+    "1. a\n1. b\n1. c": ["1. a", "1. b", "1. c"],
+    "1. see page\n42. for more\n2. d": ["more", "2. d"],
     "Am 22. März kommt der Zug, d. h. nie, z. B. um 17,3 s bzw. Nr. 4. „Nie!“, sagte Frau Dr. Velmer.": ["Nr. 4.", "Velmer."],
     "Ключ и т. д. строит в 2025 г. через узел. «Зачем?» — спросил автор. См. рис. 3.": ["узел.", "автор.", "3."],
     "节点为什么删除？“队列！”她说，于是保存。耗时2.5秒。": ["删除？", "保存。", "2.5秒。"],
