@@ -9,9 +9,14 @@ from pyspark.sql.column import Column
 from codeloom.functions import scoring
 from codeloom.functions.constants import BUILT_INS
 from codeloom.functions.text import name_tail
+from codeloom.runtime import materialise
 
 #: A name that more nodes than this share resolves to none of them.
 AMBIGUITY_CEILING = 500
+#: Types, and interfaces, of one set of method names that are paired at one place, about; more are cut.
+CELL = 4000
+#: A set of at most so many names goes along with each of them; larger ones are compared at their owners.
+FEW = 16
 
 
 def without_built_ins(refs: DataFrame) -> DataFrame:
@@ -182,15 +187,38 @@ def override_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def structural_implements(nodes: DataFrame, edges: DataFrame, language: str | None = None) -> DataFrame:
-    """(source, target): types whose methods include all methods of an interface; relational division by counting."""
+    """(source, target): types whose methods include all methods of an interface.
+
+    Owners with the same method names are one set, told by its least owner.
+    The sets of interfaces meet those of types by the name that the fewest
+    types have; those that fit are compared whole, and owners take the place
+    of their sets in the last join, so no pair of owners is moved, grouped or
+    counted. An interface with a method without name has no types.
+    """
     pool = nodes if language is None else nodes.where(F.col("language") == language)
-    methods = edges.where("kind = 'contains'").select(F.col("source").alias("owner"), F.col("target").alias("id")).join(pool.where("kind = 'method'").select("id", "name"), "id").select("owner", "name").distinct()
-    kinds = pool.select(F.col("id").alias("owner"), "kind")
-    have = methods.join(kinds.where("kind in ('struct', 'class')"), "owner").select(F.col("owner").alias("source"), "name")
-    want = methods.join(kinds.where("kind = 'interface'"), "owner").select(F.col("owner").alias("target"), "name")
-    need = want.groupBy("target").agg(F.count("*").alias("need"))
-    hit = have.join(want, "name").groupBy("source", "target").agg(F.count("*").alias("got"))
-    return hit.join(need, "target").where("got = need").select("source", "target")
+    inside = edges.where("kind = 'contains'").select(F.col("source").alias("owner"), F.col("target").alias("id")).join(pool.where("kind = 'method'").select("id", "name"), "id")
+    sets = inside.groupBy("owner").agg(F.array_sort(F.collect_set("name")).alias("names"), F.bool_or(F.col("name").isNull()).alias("unnamed"))
+    sets = materialise(sets.join(pool.where("kind in ('struct', 'class', 'interface')").select(F.col("id").alias("owner"), "kind"), "owner"))
+    have = sets.where("kind <> 'interface'").select(F.col("owner").alias("source"), F.col("names").alias("has"))
+    want = sets.where("kind = 'interface' and not unnamed").select(F.col("owner").alias("target"), F.col("names").alias("needs"))
+    held = have.groupBy("has").agg(F.min("source").alias("set"), F.count("*").alias("types"))
+    asked = want.groupBy("needs").agg(F.min("target").alias("face"), F.count("*").alias("faces"))
+
+    names = held.select("types", F.explode("has").alias("name")).groupBy("name").agg(F.sum("types").alias("types"))
+    rare = asked.select("face", F.size("needs").alias("n"), F.explode("needs").alias("name")).join(names, "name").groupBy("face", "n").agg(F.min(F.struct("types", "name")).alias("m"), F.count("*").alias("known")).where("known = n")
+    # many types and many interfaces of one set are cut into cells, each made where its part of both sides is
+    cuts = lambda n: F.ceil(F.col(n) / F.lit(CELL))
+    asked = materialise(asked.join(rare, "face").select("face", "needs", F.col("m.name").alias("name"), cuts("m.types").alias("down"), cuts("faces").alias("across")))
+
+    whole = lambda has: F.size(F.array_except("needs", has)) == 0
+    few = F.when(F.size("has") <= FEW, F.col("has"))
+    fits = held.select("set", F.size("has").alias("n"), few.alias("few"), F.explode("has").alias("name")).join(asked, "name").where((F.size("needs") <= F.col("n")) & (F.col("few").isNull() | whole("few")))
+    types = have.join(held.select("has", "set"), "has")
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = fits.select("set", "face", "needs", "down", "across").join(types, "set").where(whole("has")).select("face", part("source", "down").alias("x"), every("across").alias("y"), "source")
+    right = want.join(asked, "needs").select("face", every("down").alias("x"), part("target", "across").alias("y"), "target")
+    return left.join(right, ["face", "x", "y"]).select("source", "target")
 
 
 def decorator_edges(nodes: DataFrame) -> DataFrame:

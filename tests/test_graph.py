@@ -151,6 +151,39 @@ def test_synthesis(spark, make_nodes, make_edges):
     assert got(resolve.decorator_edges(n)) == [("user", "dec")]
 
 
+def moved(spark, df):
+    """The rows of df() and the records that its stages wrote to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().stageList(None, False, False, none, None)
+        return {s.stageId(): s.shuffleWriteRecords() for s in map(found.apply, range(found.size()))}
+
+    before = written()
+    rows = got(df())
+    return rows, sum(n for i, n in written().items() if i not in before)
+
+
+def test_implements_common_names(spark, monkeypatch):
+    """Names that all share make no pairs on the way; null and empty names; sets of more owners than a cell has, and of more names than go along."""
+    rng = random.Random(3)
+    methods = {f"{k}{i}": {"run", f"only {k}{i}"} for k in "ts" for i in range(300)}
+    methods |= {f"{k}{i}m": set(rng.sample(["run", "stop", "", "load", "save"], rng.randrange(1, 4))) for k in "ts" for i in range(40)}
+    methods |= {"s-null": {"run", None}, "t-null": {"run", None}, "s-none": {None}, "t-none": {None}}
+    n = [(o, "struct" if o[0] == "t" else "interface", o) for o in methods] + [(f"{o}/{m}", "method", m) for o, own in methods.items() for m in own]
+    e = [(o, f"{o}/{m}", "contains") for o, own in methods.items() for m in own for _ in range(2)] + [("s1", "gone", "contains"), ("gone", "t1/run", "contains")]
+    n, e = spark.createDataFrame(n, "id string, kind string, name string"), spark.createDataFrame(e, "source string, target string, kind string")
+    want = sorted((t, i) for t in methods if t[0] == "t" for i in methods if i[0] == "s" and None not in methods[i] and methods[i] <= methods[t])
+    assert len(want) > 200
+    monkeypatch.setattr(resolve, "CELL", 7, raising=False)
+    monkeypatch.setattr(resolve, "FEW", 2, raising=False)
+    rows, records = moved(spark, lambda: resolve.structural_implements(n, e))
+    assert rows == want
+    assert records < 40_000, records  # pairs by a common name alone are 100,000
+
+
 def test_imports_and_aliases(spark):
     t = spark.createDataFrame([("r/src/a.ts", "typescript", "import { x } from './b';\nimport y from '../lib/c'"), ("r/m.py", "python", "from os import path"), ("r/n.go", "go", None)], "path string, language string, text string")
     m = imports.import_mappings(t.where("text is not null"))
